@@ -40,7 +40,12 @@ def with_next(
         return row[t] if unique_time else row
 
     chunked = Window.partitionBy(*by, "_chunk").orderBy(*order)
-    x = df.withColumn("_chunk", F.floor(F.col(t) / chunk).cast("bigint"))
+    # Null keys leave first and the chunk is never null, so the join below has no filter to push
+    # into only one of its branches: both then share one exchange of the rows.
+    x = df
+    for c in [*by, t]:
+        x = x.where(F.col(c).isNotNull())
+    x = x.withColumn("_chunk", _chunk_of(t, chunk))
     x = x.withColumn("_inner", F.lead(here).over(chunked))
     aggs = [F.min(here).alias("_first"), F.max(here).alias("_last")]
     if ends_run is not None:
@@ -75,13 +80,17 @@ def with_next(
     return out.drop("_chunk", "_inner", "_after", "_stop", "_run", "_edge_run")
 
 
+def _chunk_of(t: str, size: int) -> Column:
+    return F.coalesce(F.floor(F.col(t) / size).cast("bigint"), F.lit(0).cast("bigint"))
+
+
 def number_runs(runs: DataFrame, by: Sequence[str], start: str, name: str) -> DataFrame:
     """Number the runs of each key from 1 in time order.
 
     Two levels again: ranks inside (key, chunk) plus the number of runs in earlier chunks.
     """
     by = list(by)
-    x = runs.withColumn("_chunk", F.floor(F.col(start) / WEEK).cast("bigint"))
+    x = runs.withColumn("_chunk", _chunk_of(start, WEEK))
     inner = F.row_number().over(Window.partitionBy(*by, "_chunk").orderBy(start))
     x = x.withColumn("_inner", inner)
     s = x.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_n"))

@@ -79,7 +79,6 @@ PING = ["timestamp", "device_aid", "latitude", "longitude"]
 def dirty_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pings plus duplicates, null latitudes, latitudes of 85 and longitudes of exactly 180."""
     p = pings(spark, sf_dir)
-
     def every(n: int) -> DataFrame:
         return p.where(F.col("seq") % n == 0)
 
@@ -88,6 +87,7 @@ def dirty_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .union(every(70).withColumn("latitude", F.lit(None).cast("double")))
         .union(every(90).withColumn("latitude", F.lit(85.0)))
         .union(every(110).withColumn("longitude", F.lit(180.0)))
+        .select(*PING)
     )
 
 

@@ -95,7 +95,7 @@ def stay_chain(prefix: str, source: str) -> None:
     FROM {prefix}filled WINDOW w AS (PARTITION BY device_aid ORDER BY timestamp))""",
     )
     cte(
-        f"{prefix}events",
+        f"{prefix}stops",
         (f"{prefix}grouped",),
         f"""SELECT device_aid, ev, place, min(timestamp) AS event_start, max(timestamp) AS event_end, count(*) AS n_pings,
     median(latitude) AS latitude, median(longitude) AS longitude
@@ -103,8 +103,8 @@ def stay_chain(prefix: str, source: str) -> None:
     )
     cte(
         f"{prefix}points",
-        (f"{prefix}events",),
-        f"SELECT device_aid, place, latitude, longitude, count(*) AS n_events FROM {prefix}events GROUP BY ALL",
+        (f"{prefix}stops",),
+        f"SELECT device_aid, place, latitude, longitude, count(*) AS n_events FROM {prefix}stops GROUP BY ALL",
     )
     cte(
         f"{prefix}medians",
@@ -114,10 +114,10 @@ def stay_chain(prefix: str, source: str) -> None:
     )
     cte(
         f"{prefix}labelled",
-        (f"{prefix}grouped", f"{prefix}events", f"{prefix}medians"),
+        (f"{prefix}grouped", f"{prefix}stops", f"{prefix}medians"),
         f"""SELECT g.device_aid, g.timestamp, g.latitude, g.longitude, e.event_start, e.latitude AS event_latitude,
     e.longitude AS event_longitude, CASE WHEN e.ev IS NULL THEN -1 ELSE g.place END AS loc, m.stop_latitude, m.stop_longitude
-  FROM {prefix}grouped g LEFT JOIN {prefix}events e ON g.device_aid = e.device_aid AND g.ev = e.ev
+  FROM {prefix}grouped g LEFT JOIN {prefix}stops e ON g.device_aid = e.device_aid AND g.ev = e.ev
   LEFT JOIN {prefix}medians m ON e.device_aid = m.device_aid AND e.place = m.place""",
     )
     cte(

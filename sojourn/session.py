@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +33,20 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors and ends the lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once.
+
+    Not needed where the package is installed on the cluster.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_sojourn_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="sojourn-pkg-")) / "sojourn.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._sojourn_shipped = True

@@ -13,6 +13,7 @@ from sojourn.plans import oracles as o
 from sojourn.plans import stays as st
 from sojourn.plans.catalog_ingest import _CELL, _X, _Y, deg7
 from sojourn.plans.registry import query
+from sojourn.session import cut
 
 P = StayParams()
 LATLON = "round(latitude, 7) AS latitude, round(longitude, 7) AS longitude"
@@ -297,7 +298,7 @@ def stop_hulls_square(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def stop_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = st.labelled_pings(fx.pings(spark, sf_dir))
+    labelled = cut(st.labelled_pings(fx.pings(spark, sf_dir)))
     kinds = ["all", "all_stationary", "all_nonstationary", "unique_stationary"]
     parts = [
         trace.stop_subset(labelled, k).select(F.lit(k).alias("which"), "device_aid", *deg7("latitude", "longitude"))

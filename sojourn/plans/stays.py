@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from sojourn.operators import clean, places, trace
 from sojourn.params import UTC_OFFSET_SECONDS, StayParams
+from sojourn.session import cut
 
 
 def prepared(pings: DataFrame, p: StayParams = StayParams()) -> DataFrame:
@@ -21,7 +22,8 @@ def prepared(pings: DataFrame, p: StayParams = StayParams()) -> DataFrame:
 
 def labelled_pings(pings: DataFrame, p: StayParams = StayParams()) -> DataFrame:
     """Every ping (gap copies included) with event, label, stop location and interval number."""
-    trace_rows = trace.stationary_pings(clean.one_per_second(prepared(pings, p)), p, fill=True)
+    # Written once: the rows feed the labels, the intervals and their numbering.
+    trace_rows = cut(trace.stationary_pings(clean.one_per_second(prepared(pings, p)), p, fill=True))
     events = trace_rows.where(F.col("event_start").isNotNull()).groupBy("device_aid", "event_start").agg(
         F.max("event_latitude").alias("latitude"), F.max("event_longitude").alias("longitude")
     )

@@ -244,6 +244,9 @@ def edge_weight(c1, c2, dist, weighted: bool, exponent: float):
     return w * np.power(np.maximum(dist, 1e-9), -exponent) if weighted else w
 
 
+_DENSE = 512  # up to so many points a square distance matrix is cheaper than a search
+
+
 def place_labels(
     lat: np.ndarray,
     lon: np.ndarray,
@@ -271,23 +274,39 @@ def place_labels(
         near = near[near + lo != i]
         return near + lo, d[near]
 
-    # Connected components by breadth first search; each point is expanded once.
     component = np.full(n, -1, dtype=np.int64)
     degree = np.zeros(n, dtype=np.int64)
     n_comp = 0
-    for root in range(n):
-        if component[root] >= 0:
-            continue
-        component[root] = n_comp
-        queue = [root]
-        while queue:
-            i = queue.pop()
-            js, _ = around(i)
-            degree[i] = len(js)
-            fresh = js[component[js] < 0]
-            component[fresh] = n_comp
-            queue.extend(fresh.tolist())
-        n_comp += 1
+    if n <= _DENSE:
+        apart = distance(metric, slat[:, None], slon[:, None], slat[None, :], slon[None, :])
+        linked = apart <= r2
+        np.fill_diagonal(linked, True)
+        degree = linked.sum(axis=1) - 1
+        for root in range(n):
+            if component[root] >= 0:
+                continue
+            inside = linked[root]
+            size = 0
+            while inside.sum() > size:
+                size = inside.sum()
+                inside = linked[inside].any(axis=0)
+            component[inside] = n_comp
+            n_comp += 1
+    else:
+        # Breadth first search; every point is expanded once and no pair is kept.
+        for root in range(n):
+            if component[root] >= 0:
+                continue
+            component[root] = n_comp
+            queue = [root]
+            while queue:
+                i = queue.pop()
+                js, _ = around(i)
+                degree[i] = len(js)
+                fresh = js[component[js] < 0]
+                component[fresh] = n_comp
+                queue.extend(fresh.tolist())
+            n_comp += 1
     sizes = np.bincount(component, minlength=n_comp)
     full = np.bincount(component, weights=degree, minlength=n_comp) == sizes * (sizes - 1)
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sojourn.operators.scenario import pearson
+
 # Step, metric, lower and upper bound of each rule (None leaves a side open).
 RULES: list[tuple[int, str, float | None, float | None]] = [
     (1, "stops_per_device_median", 20.0, 50.0),
@@ -49,7 +51,7 @@ def observed(
             share(F.col("rewired")).alias("rewiring_rate"), share(~F.col("localizable")).alias("non_localizable_rate")
         ),
         worse.agg(F.avg("delta_ice").alias("ice_change_disadvantaged")),
-        joined.agg(F.corr("localizability_trip", "composition").alias("localizability_composition_correlation")),
+        joined.agg(pearson("localizability_trip", "composition").alias("localizability_composition_correlation")),
     ]
 
     def long(row: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A key (a device) may own a third of all rows. Windows therefore run over (key, time chunk), and
 what crosses a chunk edge travels through a summary with one row per (key, chunk): its first and
-last row and its first break. The only per-key window is over that summary, whose size is the
+last row and its last break. The only per-key window is over that summary, whose size is the
 number of chunks in the data period, not the number of rows.
 """
 
@@ -27,10 +27,12 @@ def with_next(
 ) -> DataFrame:
     """Add ``next`` (struct of the ``order`` columns of the following row, null on the last one).
 
-    With ``ends_run(current, following)`` also add ``run_end``: the order columns of the last row
-    of the maximal run the row belongs to (only its time where times are unique), where a run ends
-    after every row for which the function is true, and always on the last row. (key, run_end)
-    names a run. The first ``order`` column is the time and must be an integer type.
+    With ``ends_run(current, following)`` also add ``run_start``: the order columns of the first
+    row of the maximal run the row belongs to (only its time where times are unique), where a run
+    ends after every row for which the function is true. (key, run_start) names a run.
+    The first ``order`` column is the time and must be an integer type.
+
+    All frames look backwards from the current row, so each is one pass over its sorted chunk.
     """
     by, order = list(by), list(order)
     t = order[0]
@@ -47,37 +49,32 @@ def with_next(
         x = x.where(F.col(c).isNotNull())
     x = x.withColumn("_chunk", _chunk_of(t, chunk))
     x = x.withColumn("_inner", F.lead(here).over(chunked))
-    aggs = [F.min(here).alias("_first"), F.max(here).alias("_last")]
+    aggs = [F.min(here).alias("_first")]
     if ends_run is not None:
-        stop = F.when(F.col("_inner").isNotNull() & ends_run(here, F.col("_inner")), mark(here))
-        x = x.withColumn("_stop", stop)
-        x = x.withColumn(
-            "_run",
-            F.first("_stop", ignorenulls=True).over(
-                chunked.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-            ),
-        )
-        aggs.append(F.min("_stop").alias("_first_stop"))
+        x = x.withColumn("_lag", F.lag(here).over(chunked))
+        begins = F.col("_lag").isNotNull() & ends_run(F.col("_lag"), here)
+        x = x.withColumn("_mark", F.when(begins, mark(here))).drop("_lag")
+        so_far = chunked.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        x = x.withColumn("_run", F.last("_mark", ignorenulls=True).over(so_far))
+        aggs += [F.max(here).alias("_last"), F.max("_mark").alias("_last_mark")]
 
     chunks = Window.partitionBy(*by).orderBy("_chunk")
-    s = x.groupBy(*by, "_chunk").agg(*aggs)
-    s = s.withColumn("_after", F.lead("_first").over(chunks))
+    s = x.groupBy(*by, "_chunk").agg(*aggs).withColumn("_after", F.lead("_first").over(chunks))
     if ends_run is not None:
-        last = F.col("_last")
-        closed = F.col("_after").isNull() | ends_run(last, F.col("_after"))
-        s = s.withColumn("_edge_stop", F.when(closed, mark(last)))
-        s = s.withColumn("_any_stop", F.coalesce("_first_stop", "_edge_stop"))
-        later = F.first("_any_stop", ignorenulls=True).over(
-            chunks.rowsBetween(1, Window.unboundedFollowing)
-        )
-        s = s.withColumn("_edge_run", F.coalesce(F.col("_edge_stop"), later))
+        first = F.col("_first")
+        s = s.withColumn("_before", F.lag("_last").over(chunks))
+        opened = F.col("_before").isNull() | ends_run(F.col("_before"), first)
+        s = s.withColumn("_edge_mark", F.when(opened, mark(first)))
+        s = s.withColumn("_any_mark", F.coalesce("_last_mark", "_edge_mark"))
+        earlier = F.last("_any_mark", ignorenulls=True).over(chunks.rowsBetween(Window.unboundedPreceding, -1))
+        s = s.withColumn("_edge_run", F.coalesce(F.col("_edge_mark"), earlier))
         s = s.select(*by, "_chunk", "_after", "_edge_run")
     else:
         s = s.select(*by, "_chunk", "_after")
     out = x.join(s, [*by, "_chunk"]).withColumn("next", F.coalesce("_inner", "_after"))
     if ends_run is not None:
-        out = out.withColumn("run_end", F.coalesce("_run", "_edge_run"))
-    return out.drop("_chunk", "_inner", "_after", "_stop", "_run", "_edge_run")
+        out = out.withColumn("run_start", F.coalesce("_run", "_edge_run"))
+    return out.drop("_chunk", "_inner", "_after", "_mark", "_run", "_edge_run")
 
 
 def _chunk_of(t: str, size: int) -> Column:

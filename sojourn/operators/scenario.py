@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -215,5 +215,10 @@ def category_missingness(categories: DataFrame) -> DataFrame:
 def localizability_correlation(zones: DataFrame, attributes: DataFrame, variable: str) -> DataFrame:
     """Pearson correlation of zone localizability with a composition variable, per city."""
     return zones.join(attributes, "zone_id").groupBy("city").agg(
-        F.corr("localizability_trip", variable).alias("correlation")
+        pearson("localizability_trip", variable).alias("correlation")
     )
+
+
+def pearson(x: str, y: str) -> Column:
+    """Correlation that is null, not an error, where a side does not vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

@@ -15,6 +15,7 @@ from sojourn.functions.hashing import uniform_draw
 from sojourn.operators.clean import one_per_second
 from sojourn.operators.ordered import number_runs, with_next
 from sojourn.params import StayParams
+from sojourn.session import kernel_partitions
 
 TRACE = ["timestamp", "latitude", "longitude"]
 
@@ -75,11 +76,11 @@ def _segmented(trace: DataFrame, p: StayParams, timed: bool, fill: bool) -> Data
         first = F.struct(t.alias("timestamp"), (t + (m - 1)).alias("next_time"), F.lit(False).alias("is_end"))
         rows = F.when(nxt - t >= m, F.array(first, copy)).otherwise(rows)
     return (
-        x.select("device_aid", "run_end", "latitude", "longitude", F.explode(rows).alias("_r"))
-        .select("device_aid", "run_end", "_r.*", "latitude", "longitude")
-        .repartition("device_aid", "run_end")
-        .sortWithinPartitions("device_aid", "run_end", *TRACE)
-        .drop("run_end")
+        x.select("device_aid", "run_start", "latitude", "longitude", F.explode(rows).alias("_r"))
+        .select("device_aid", "run_start", "_r.*", "latitude", "longitude")
+        .repartition(kernel_partitions(trace), "device_aid", "run_start")
+        .sortWithinPartitions("device_aid", "run_start", *TRACE)
+        .drop("run_start")
     )
 
 
@@ -210,9 +211,9 @@ def interval_segments(pings: DataFrame, max_time_between: int = 10800) -> DataFr
         ["timestamp", "loc", "latitude", "longitude"],
         ends_run=_run_rule("loc", "timestamp", max_time_between),
     ).drop("next")
-    runs = x.groupBy("device_aid", "run_end").agg(F.min("timestamp").alias("_start"))
+    runs = x.groupBy("device_aid", "run_start").agg(F.min("timestamp").alias("_start"))
     numbered = number_runs(runs, ["device_aid"], "_start", "interval").drop("_start")
-    return x.join(numbered, ["device_aid", "run_end"]).drop("run_end")
+    return x.join(numbered, ["device_aid", "run_start"]).drop("run_start")
 
 
 def aggregate_stays(labelled: DataFrame) -> DataFrame:
@@ -249,7 +250,7 @@ def label_intervals(
         [time, label],
         ends_run=_run_rule(label, time, max_time_between),
     )
-    out = x.groupBy(*by, "run_end").agg(
+    out = x.groupBy(*by, "run_start").agg(
         F.max(label).alias("label"),
         F.min(time).alias("start"),
         F.max(time).alias("end"),
@@ -257,7 +258,7 @@ def label_intervals(
     )
     if legacy_tail:
         out = out.where(~F.col("_tail") | (F.col("label") == -1))
-    return out.drop("run_end", "_tail")
+    return out.drop("run_start", "_tail")
 
 
 # ---------------------------------------------------------------- projections on stays

@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table that is a single small file; larger inputs bring their own splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def deg(e5: Column) -> Column:
     return e5.cast("double") / F.lit(100000.0)
 
@@ -47,7 +53,7 @@ def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pings(spark: SparkSession, sf_dir: str, truth: bool = False) -> DataFrame:
     """Six pings, five minutes apart, per event row."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id").where("user_id is not null")
+    e = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id").where("user_id is not null"))
     t0 = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
     e = e.select("event_id", "user_id", t0.alias("t0"))
     e = e.withColumn("hr", F.expr("(t0 div 3600) % 24")).withColumn("dow", F.expr("(t0 div 86400 + 4) % 7"))

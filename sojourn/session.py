@@ -35,6 +35,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kernel_partitions(df: DataFrame) -> int:
+    """Partitions for a shuffle that feeds a kernel: as many as the session uses for shuffles.
+
+    A fixed number keeps small but costly rows from being coalesced into a few tasks by size.
+    """
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers of the session, once.
 

@@ -61,108 +61,62 @@ def _plogp(x: Column) -> Column:
     return F.when(x > 1e-300, x * F.log2(x)).otherwise(F.lit(0.0))
 
 
-def map_equation_communities(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def map_equation_communities(edges: DataFrame) -> DataFrame:
     """(node, module) by two-level map equation on edges (src, dst, weight; each pair once).
 
-    The distributed form of the greedy kernel, for components too large for one task. In every
-    round half of the nodes (by a hash that changes each round) may move to the neighbouring
-    module that shortens the description most; then modules are merged as nodes and the rounds
-    start again, until neither helps. Each round works with partial aggregates over edges; only
-    the total exit flow (one number) visits the driver.
+    The distributed form for components too large for one task. Every round scores all linked
+    module pairs by how much their merger shortens the description, and merges the pairs that are
+    each other's best choice; ties are broken by a hash of the pair that changes per round, so that
+    equal choices pair off at random. Pairs never overlap, so rounds only improve and must end.
+    One number, the total exit flow, is read back as a scalar subquery.
     """
-    total = edges.agg(F.sum("weight")).first()[0]
-    if not total:
-        return edges.select(F.col("src").alias("node"), F.col("src").alias("module")).limit(0)
-    half = edges.select("src", "dst", (F.col("weight") / F.lit(2.0 * total)).alias("w"))
-    links = cut(half.union(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")))
-    nodes = cut(
-        links.groupBy(F.col("src").alias("node"))
-        .agg(F.sum("w").alias("flow"))
-        .select("node", "flow", F.col("flow").alias("leaving"), F.col("node").alias("module"))
+    both = edges.select("src", "dst", "weight").union(
+        edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     )
-    membership = nodes.select("node", "module")
+    both = cut(both)
+    total = both.agg(F.sum("weight")).scalar()
+    links = cut(both.select("src", "dst", (F.col("weight") / total).alias("w")))
+    flow = cut(links.groupBy(F.col("src").alias("module")).agg(F.sum("w").alias("p")))
+    membership = flow.select(F.col("module").alias("node"), "module")
+    turn = 0
     while True:
-        nodes, moved = _rounds(links, nodes, max_rounds)
-        if not moved:
+        merges = cut(_best_mergers(links, flow, turn))
+        if merges.isEmpty():
             return membership
-        step = nodes.select(F.col("node").alias("_n"), F.col("module").alias("_m"))
-        membership = cut(
-            membership.join(step, F.col("module") == F.col("_n")).select("node", F.col("_m").alias("module"))
-        )
-        a = step.select(F.col("_n").alias("src"), F.col("_m").alias("ma"))
-        b = step.select(F.col("_n").alias("dst"), F.col("_m").alias("mb"))
-        links = cut(
-            links.join(a, "src")
-            .join(b, "dst")
-            .where(F.col("ma") != F.col("mb"))
-            .groupBy(F.col("ma").alias("src"), F.col("mb").alias("dst"))
-            .agg(F.sum("w").alias("w"))
-        )
-        flows = nodes.groupBy(F.col("module").alias("node")).agg(F.sum("flow").alias("flow"))
-        out = links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("leaving"))
-        nodes = cut(
-            flows.join(out, "node", "left").select(
-                "node", "flow", F.coalesce("leaving", F.lit(0.0)).alias("leaving"), F.col("node").alias("module")
-            )
-        )
-
-
-def _rounds(links: DataFrame, nodes: DataFrame, max_rounds: int) -> tuple[DataFrame, bool]:
-    moved_any, quiet = False, 0
-    for turn in range(max_rounds):
-        where = nodes.select(F.col("node").alias("dst"), F.col("module").alias("to"))
-        toward = links.join(where, "dst").groupBy("src", "to").agg(F.sum("w").alias("w_to"))
-        own = nodes.select(F.col("node").alias("src"), "flow", "leaving", F.col("module").alias("a"))
-        toward = cut(toward.join(own, "src"))
-        inside = toward.where(F.col("to") == F.col("a")).groupBy("a").agg(F.sum("w_to").alias("_in"))
-        stats = (
-            nodes.groupBy(F.col("module").alias("a"))
-            .agg(F.sum("flow").alias("p"), F.sum("leaving").alias("_out"))
-            .join(inside, "a", "left")
-            .select("a", "p", (F.col("_out") - F.coalesce("_in", F.lit(0.0))).alias("q"))
-        )
-        stats = cut(stats)
-        q_sum = F.lit(stats.agg(F.sum("q")).first()[0] or 0.0)
-        stay = toward.where(F.col("to") == F.col("a")).select("src", F.col("w_to").alias("w_a"))
-        mine = stats.select("a", F.col("p").alias("pa"), F.col("q").alias("qa"))
-        theirs = stats.select(F.col("a").alias("to"), F.col("p").alias("pb"), F.col("q").alias("qb"))
-        c = (
-            toward.where((F.col("to") != F.col("a")) & (F.pmod(F.xxhash64("src", F.lit(turn)), F.lit(2)) == 0))
-            .join(stay, "src", "left")
-            .join(mine, "a")
-            .join(theirs, "to")
-        )
-        w_a = F.coalesce("w_a", F.lit(0.0))
-        qa, qb, pa, pb = (F.col(x) for x in ("qa", "qb", "pa", "pb"))
-        flow, leaving = F.col("flow"), F.col("leaving")
-        qa2 = F.greatest(qa - leaving + 2 * w_a, F.lit(0.0))
-        qb2 = F.greatest(qb + leaving - 2 * F.col("w_to"), F.lit(0.0))
-        gain = (
-            _plogp(F.greatest(q_sum - qa - qb + qa2 + qb2, F.lit(0.0)))
-            - _plogp(q_sum)
-            - 2 * (_plogp(qa2) + _plogp(qb2) - _plogp(qa) - _plogp(qb))
-            + _plogp(F.greatest(qa2 + pa - flow, F.lit(0.0)))
-            + _plogp(qb2 + pb + flow)
-            - _plogp(qa + pa)
-            - _plogp(qb + pb)
-        )
-        best = (
-            c.select("src", "to", gain.alias("gain"))
-            .where(F.col("gain") < -1e-10)
-            .groupBy("src")
-            .agg(F.min(F.struct("gain", "to")).alias("_b"))
-            .select(F.col("src").alias("node"), F.col("_b.to").alias("_to"))
-        )
-        moves = cut(best)
-        n = moves.count()
-        quiet = quiet + 1 if n == 0 else 0
-        if quiet >= 3:
-            break
-        if n:
-            moved_any = True
-            nodes = cut(
-                nodes.join(moves, "node", "left").select(
-                    "node", "flow", "leaving", F.coalesce("_to", "module").alias("module")
-                )
-            )
-    return nodes, moved_any
+        turn += 1
+        membership = cut(_renamed(membership, merges, "module"))
+        moved = _renamed(_renamed(links, merges, "src"), merges, "dst")
+        links = cut(moved.where(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(F.sum("w").alias("w")))
+        flow = cut(_renamed(flow, merges, "module").groupBy("module").agg(F.sum("p").alias("p")))
+
+
+def _renamed(rows: DataFrame, merges: DataFrame, column: str) -> DataFrame:
+    new = merges.select(F.col("b").alias(column), F.col("a").alias("_new"))
+    return rows.join(new, column, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
+
+
+def _best_mergers(links: DataFrame, flow: DataFrame, turn: int) -> DataFrame:
+    """Disjoint pairs (a < b) whose merger is the best choice of both."""
+    out = links.groupBy(F.col("src").alias("module")).agg(F.sum("w").alias("q"))
+    stats = flow.join(out, "module")
+    q_sum = out.agg(F.sum("q")).scalar()
+    one = stats.select(F.col("module").alias("src"), F.col("p").alias("pa"), F.col("q").alias("qa"))
+    two = stats.select(F.col("module").alias("dst"), F.col("p").alias("pb"), F.col("q").alias("qb"))
+    pairs = links.where(F.col("src") < F.col("dst")).join(one, "src").join(two, "dst").withColumn("qs", q_sum)
+    qa, qb, pa, pb = (F.col(x) for x in ("qa", "qb", "pa", "pb"))
+    q = F.greatest(qa + qb - 2 * F.col("w"), F.lit(0.0))
+    gain = (
+        _plogp(F.greatest(F.col("qs") - qa - qb + q, F.lit(0.0)))
+        - _plogp(F.col("qs"))
+        - 2 * (_plogp(q) - _plogp(qa) - _plogp(qb))
+        + _plogp(q + pa + pb)
+        - _plogp(qa + pa)
+        - _plogp(qb + pb)
+    )
+    choice = F.struct(
+        F.round(gain, 12).alias("gain"), F.xxhash64("src", "dst", F.lit(turn)).alias("tie"), F.col("src").alias("a"), F.col("dst").alias("b")
+    )
+    good = pairs.select(choice.alias("c")).where(F.col("c.gain") < -1e-10)
+    sides = good.select("c", F.explode(F.array("c.a", "c.b")).alias("module"))
+    best = sides.groupBy("module").agg(F.min("c").alias("c"))
+    return best.groupBy("c.a", "c.b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 2).select("a", "b")

@@ -82,7 +82,7 @@ def map_equation_communities(edges: DataFrame) -> DataFrame:
     while True:
         merges = cut(_best_mergers(links, flow, turn))
         if merges.isEmpty():
-            return membership
+            return membership.select("node", "module")
         turn += 1
         membership = cut(_renamed(membership, merges, "module"))
         moved = _renamed(_renamed(links, merges, "src"), merges, "dst")

@@ -205,11 +205,11 @@ def cluster_points(
     labels = solved.join(least, ["component", "loc"]).select("node", "module")
     lone = component.join(size.where(F.col("_size") == 1), "component")
     lone = lone.select("node", F.col("node").alias("module") if label_singleton else F.lit(-1).alias("module"))
-    labels = labels.union(lone)
+    labels = labels.unionByName(lone)
     large = sized.where(F.col("_size") > component_limit)
     if not large.isEmpty():
         inner = edges.join(large.select(F.col("node").alias("src")), "src")
-        labels = labels.union(graph.map_equation_communities(inner.select("src", "dst", "weight")))
+        labels = labels.unionByName(graph.map_equation_communities(inner.select("src", "dst", "weight")))
     return rows.join(labels.withColumnRenamed("module", "loc"), "node").drop("node")
 
 

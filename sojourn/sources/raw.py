@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,27 +144,25 @@ def _unzip(carry: list[str]):
                         if not name.endswith(".csv"):
                             continue
                         with archive.open(name) as member:
-                            for chunk in _chunks(member, f"{path}:{name}"):
-                                table = pa.Table.from_pandas(chunk.assign(**tags), schema=schema, preserve_index=False)
-                                yield from table.to_batches()
+                            for table in _tables(member, f"{path}:{name}", tags):
+                                yield from pa.table(table, schema=schema).to_batches()
 
     return run
 
 
-def _chunks(member, where: str) -> Iterator[pd.DataFrame]:
-    reader = pd.read_csv(
-        io.TextIOWrapper(member, encoding="utf-8"),
-        sep="\t",
-        dtype=str,
-        usecols=lambda c: c in KEPT_COLUMNS,
-        on_bad_lines="skip",
-        chunksize=200_000,
-    )
-    for chunk in reader:
-        missing = [c for c in KEPT_COLUMNS if c not in chunk.columns]
-        if missing:
-            raise ValueError(f"missing columns {missing} in {where}")
-        yield chunk[KEPT_COLUMNS]
+def _tables(member, where: str, tags: dict[str, str]) -> Iterator[dict[str, list]]:
+    """Kept columns of one member, some thousand rows at a time; longer rows are skipped and
+    shorter ones padded, as in text files."""
+    reader = csv.reader(io.TextIOWrapper(member, encoding="utf-8", newline=""), delimiter="\t")
+    header = next(reader, [])
+    missing = [c for c in KEPT_COLUMNS if c not in header]
+    if missing:
+        raise ValueError(f"missing columns {missing} in {where}")
+    width, at = len(header), [header.index(c) for c in KEPT_COLUMNS]
+    while rows := list(itertools.islice(reader, 50_000)):
+        kept = [r + [""] * (width - len(r)) for r in rows if r and len(r) <= width]
+        out = {c: [r[i] for r in kept] for c, i in zip(KEPT_COLUMNS, at)}
+        yield {**out, **{c: [v] * len(kept) for c, v in tags.items()}}
 
 
 def scan_all(spark: SparkSession, root: str) -> DataFrame:

@@ -28,8 +28,6 @@ def sql(body: str, *needs: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTE[n][1]})" for n in ordered) + "\n" + body
 
 
-D = "CAST({} AS DOUBLE) / 100000.0::DOUBLE"
-
 
 def deg(e5: str) -> str:
     return f"(CAST({e5} AS DOUBLE) / CAST(100000 AS DOUBLE))"

@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,7 +33,15 @@ def unique_points(events: DataFrame, by: Sequence[str] = ("device_aid",), resolu
         # A device has at most one event per min_staying_time, so its points stay few.
         return out.withColumn("node", F.row_number().over(Window.partitionBy(*by).orderBy(*POINT)))
     # Without a key an id from the coordinates needs no global order.
-    return out.withColumn("node", F.xxhash64(*POINT))
+    return out.withColumn("node", point_id(resolution))
+
+
+def point_id(resolution: float) -> Column:
+    """Number of a place in degrees: exact on a grid of 1e-7 degrees or coarser, else a hash."""
+    if resolution < 1e-7:
+        return F.xxhash64(*POINT)
+    row, column = (F.bround(F.col(c) / F.lit(resolution)).cast("bigint") for c in POINT)
+    return row * F.lit(1 << 32) + column
 
 
 def radius_neighbors(
@@ -192,8 +200,9 @@ def cluster_points(
     0 keeps raw coordinates.
     """
     rows = snapped(points, resolution) if resolution > 0 else points
-    rows = rows.withColumn("node", F.xxhash64(*POINT))
-    nodes = cut(unique_points(points, (), resolution))
+    exact = resolution if metric == "haversine" else 0.0
+    rows = rows.withColumn("node", point_id(exact))
+    nodes = cut(unique_points(points, (), resolution).withColumn("node", point_id(exact)))
     edges = cut(edge_weights(radius_neighbors(nodes, r2, (), metric), weighted, exponent))
     component = cut(graph.connected_components(nodes, edges))
     size = component.groupBy("component").agg(F.count(F.lit(1)).alias("_size"))

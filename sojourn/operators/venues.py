@@ -76,7 +76,7 @@ def assign_poi(stops: DataFrame, pois: DataFrame, p: VenueParams = VenueParams()
 
     Work is done per distinct stop coordinate: stays repeat a place many times.
     """
-    spots = stops.select("latitude", "longitude").distinct().withColumn("stop_id", F.xxhash64("latitude", "longitude"))
+    spots = stops.select("latitude", "longitude").distinct().withColumn("stop_id", F.struct("latitude", "longitude"))
     spots = cut(spots)
     inside = poi_containment(spots, pois).select(
         "stop_id", F.lit(1).alias("match_tier"), F.lit(0.0).alias("distance_to_poi"), "poi_id"

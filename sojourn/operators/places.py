@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from sojourn.functions import geo, kernels
 from sojourn.operators import graph, spatial
 from sojourn.params import StayParams
-from sojourn.session import cut, kernel_partitions
+from sojourn.session import cut, kernel_shuffle
 
 POINT = ["latitude", "longitude"]
 
@@ -153,7 +153,7 @@ def _first_of_event(table: pa.Table) -> np.ndarray:
 def _labelled(rows: DataFrame, p: StayParams, key: str, order: Sequence[str], count: str | None) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     schema = f"{fields}, loc int, stop_latitude double, stop_longitude double"
-    return rows.repartition(kernel_partitions(rows), key).sortWithinPartitions(key, *POINT, *order).mapInArrow(
+    return kernel_shuffle(rows, key).sortWithinPartitions(key, *POINT, *order).mapInArrow(
         _label_kernel(p, key, count), schema
     )
 

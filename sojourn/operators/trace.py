@@ -15,7 +15,7 @@ from sojourn.functions.hashing import uniform_draw
 from sojourn.operators.clean import one_per_second
 from sojourn.operators.ordered import number_runs, with_next
 from sojourn.params import StayParams
-from sojourn.session import kernel_partitions
+from sojourn.session import kernel_shuffle
 
 TRACE = ["timestamp", "latitude", "longitude"]
 
@@ -75,13 +75,10 @@ def _segmented(trace: DataFrame, p: StayParams, timed: bool, fill: bool) -> Data
         )
         first = F.struct(t.alias("timestamp"), (t + (m - 1)).alias("next_time"), F.lit(False).alias("is_end"))
         rows = F.when(nxt - t >= m, F.array(first, copy)).otherwise(rows)
-    return (
-        x.select("device_aid", "run_start", "latitude", "longitude", F.explode(rows).alias("_r"))
-        .select("device_aid", "run_start", "_r.*", "latitude", "longitude")
-        .repartition(kernel_partitions(trace), "device_aid", "run_start")
-        .sortWithinPartitions("device_aid", "run_start", *TRACE)
-        .drop("run_start")
-    )
+    rows = x.select("device_aid", "run_start", "latitude", "longitude", F.explode(rows).alias("_r"))
+    rows = rows.select("device_aid", "run_start", "_r.*", "latitude", "longitude")
+    keys = ["device_aid", "run_start"]
+    return kernel_shuffle(rows, *keys).sortWithinPartitions(*keys, *TRACE).drop("run_start")
 
 
 def _event_kernel(p: StayParams, timed: bool, as_runs: bool):

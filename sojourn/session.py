@@ -35,12 +35,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def kernel_partitions(df: DataFrame) -> int:
-    """Partitions for a shuffle that feeds a kernel: as many as the session uses for shuffles.
+def kernel_shuffle(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitioning for a kernel.
 
-    A fixed number keeps small but costly rows from being coalesced into a few tasks by size.
+    Where shuffles have few partitions for the cores at hand their number is kept, because small
+    but costly rows should not be coalesced into one or two tasks by size; else it is left to
+    adaptive execution.
     """
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if n <= 4 * df.sparkSession.sparkContext.defaultParallelism:
+        return df.repartition(n, *keys)
+    return df.repartition(*keys)
 
 
 def ship(spark: SparkSession) -> None:

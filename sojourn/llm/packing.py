@@ -39,7 +39,7 @@ _PIECES = pa.schema(
         ("place", pa.int64()),
     ]
 )
-_PLAIN = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
+_MARK = re.compile(rb"([.,|])(?<=[a-z].)(?=[ \n])")
 
 
 def default_vocabulary() -> str:
@@ -47,73 +47,83 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Token ids of texts for a vocabulary that drops white space between words.
+    """Token ids of texts for a vocabulary that drops white space between words and upper case.
 
-    No token spans white space, so the ids of a text are those of its words in order. Words are
-    encoded once per task and kept, up to a number of words after which the table starts anew.
-    Of a word of ASCII letters with punctuation after it, both parts are kept apart in lower case.
+    No token spans white space, so the ids of a text are those of its words in order. A word is
+    encoded once and kept as bytes, up to a number of words after which the table starts anew.
+    Single marks at the end of a word are words of their own, as the vocabulary's own split has it.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 800_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.parts: dict[bytes, np.ndarray] = {b"": np.zeros(0, np.uint16)}
-        self.flat = np.zeros(1 << 20, np.uint16)
-        self.begin = np.zeros(1 << 18, np.int64)  # begin[i + 1] is the end of word i
-        self.count = 0
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        out = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=np.uint16) for e in out]
+        self.known: dict[bytes, bytes] = {}
+
+    def _each(self, new: list[bytes]) -> list[bytes]:
+        out = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+        return [np.array(e.ids, dtype=np.uint16).tobytes() for e in out]
+
+    def _letters(self, new: list[bytes]) -> list[bytes]:
+        """Words of letters alone, many in one call: each is one piece of the vocabulary's split."""
+        e = self.tokenizer.encode(" ".join(w.decode() for w in new), add_special_tokens=False)
+        at = np.flatnonzero(np.diff(np.array(e.word_ids, dtype=np.int64), prepend=-1))
+        if len(at) != len(new):  # a letter that the vocabulary takes for something else
+            return self._each(new)
+        ids = np.array(e.ids, dtype=np.uint16).tobytes()
+        ends = [*(at[1:] * 2).tolist(), len(ids)]
+        return [ids[a:b] for a, b in zip((at * 2).tolist(), ends, strict=True)]
 
     def _learn(self, new: list[bytes]) -> None:
-        plain = [_PLAIN.fullmatch(w) for w in new]
-        split = [(m[1].lower(), m[2]) if m else (w, b"") for m, w in zip(plain, new, strict=True)]
-        missing = list({p for pair in split for p in pair}.difference(self.parts))
-        self.parts.update(zip(missing, self._encode([p.decode() for p in missing]), strict=True))
-        for w, (a, b) in zip(new, split, strict=True):
-            ids = self.parts[a] if not b else np.concatenate([self.parts[a], self.parts[b]])
-            at = int(self.begin[self.count])
-            while at + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if self.count + 2 > len(self.begin):
-                self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-            self.flat[at : at + len(ids)] = ids
-            self.begin[self.count + 1] = at + len(ids)
-            self.known[w] = self.count
-            self.count += 1
-
-    def encode(self, text: str | None) -> np.ndarray:
-        """The ids of one text."""
-        tokens = text.encode().split() if text else []
-        if not tokens:
-            return np.zeros(0, np.uint16)
-        new = set(tokens).difference(self.known)
-        if new:
-            if self.count + len(new) > self.most and self.count:
-                self._reset()
-                new = set(tokens)
-            self._learn(list(new))
-        at = np.fromiter(map(self.known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-        begin = self.begin[at]
-        sizes = self.begin[at + 1] - begin
-        ends = np.cumsum(sizes)
-        return self.flat[np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1])]
+        letters = [w for w in new if w.decode().isalpha()]
+        other = list(set(new).difference(letters))
+        for at in range(0, len(letters), 256):
+            part = letters[at : at + 256]
+            self.known.update(zip(part, self._letters(part), strict=True))
+        self.known.update(zip(other, self._each(other), strict=True))
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        for at in range(0, len(texts), 64):
+            split = [self._split(t) for t in texts[at : at + 64]]
+            found = [list(map(self.known.get, tokens)) for tokens in split]
+            if any(None in ids for ids in found):
+                if len(self.known) > self.most:
+                    self.known.clear()
+                self._learn(list(set().union(*split).difference(self.known)))
+                found = [map(self.known.__getitem__, tokens) for tokens in split]
+            for ids in found:
+                yield np.frombuffer(b"".join(ids), dtype=np.uint16)
+
+    @staticmethod
+    def _split(text: str | None) -> list[bytes]:
+        if not text:
+            return []
+        raw = text.encode()
+        if b"<|" in raw:  # special tokens are told apart by case
+            return raw.split()
+        return _MARK.sub(rb" \1", raw.lower()).split()
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def _cut(path: str, sequence: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        coder = encoder(path)
         task = TaskContext.get().partitionId()
         places = np.zeros(sequence + 1, dtype=np.int64)
         for b in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                ids = np.append(encoder.encode(text.as_py()), np.uint16(END)).astype("<u4")
+            texts = coder.encode_all(b.column("text").to_pylist())
+            for doc_id, found in zip(b.column("doc_id").to_pylist(), texts, strict=True):
+                ids = np.append(found, np.uint16(END)).astype("<u4")
                 for start in range(0, len(ids), sequence):
                     part = ids[start : start + sequence]
                     n = len(part)

@@ -29,7 +29,7 @@ MAX_BITS = 3
 #: Runs up to this length are compared row by row in numpy; longer ones give spanning edges.
 SHORT_RUN = 32
 
-_FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("row", pa.int64())])
 _EDGE = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
 
@@ -61,18 +61,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """(doc_id, fp, row) for every row; fp is the fingerprint as a signed long, row passes through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter(
                 (fingerprint(t.as_py()) for t in b.column("text")), dtype=np.uint64, count=b.num_rows
             )
-            yield batch(_FP, [b.column("doc_id"), fps.view(np.int64)])
+            yield batch(_FP, [b.column("doc_id"), fps.view(np.int64), b.column("row")])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    kept = F.col(row).cast("long") if row else F.lit(None).cast("long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), kept.alias("row"))
+    return rows.mapInArrow(run, "doc_id long, fp long, row long")
 
 
 def _cells(fps: DataFrame) -> DataFrame:
@@ -150,27 +151,35 @@ def links(fps: DataFrame) -> DataFrame:
     return together.mapInArrow(_verify, "src long, dst long").distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id), one row per row of ``docs``.
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None
+) -> DataFrame:
+    """(doc_id, fp, row, root, component_id), one row per row of ``docs``.
+
+    ``root`` is a fingerprint that stands for the component, ``row`` a column of longs to pass through.
 
     Fingerprints that differ in three bits at most are linked; component_id is the smallest doc_id
     that links reach. Null and blank texts have fingerprint zero and link like any other. Repeated
     rows stay repeated; a null doc_id is never a component_id unless its whole component has none.
     An empty table gives no rows. Other columns of ``docs`` are not looked at.
     """
-    base = stored(fingerprints(docs, doc_id, text), "simhash")
+    base = stored(fingerprints(docs, doc_id, text, row), "simhash")
     firsts = stored(base.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-firsts")
     edges = stored(links(firsts), "simhash-links")
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     comps = connected_components(ends, edges).select(F.col("node").alias("fp"), "component")
     members = stored(comps.join(firsts, "fp"), "simhash-members")
     roots = members.groupBy("component").agg(F.min("first").alias("component_id"))
-    linked = members.join(roots, "component").select("fp", "component_id")
+    linked = members.join(roots, "component").select("fp", "component", "component_id")
     classes = stored(
-        firsts.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")),
+        firsts.join(linked, "fp", "left").select(
+            "fp",
+            F.coalesce("component", "fp").alias("root"),
+            F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"),
+        ),
         "simhash-classes",
     )
-    return base.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return base.join(classes, "fp").select("doc_id", "fp", "row", "root", "component_id")
 
 
 def hexadecimal(fp: str = "fp"):

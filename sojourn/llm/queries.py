@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sojourn.llm import decontaminate, packing, passages, quality, simhash
+from sojourn.llm import decontaminate, language, packing, passages, quality, simhash, urls, vectors
 from sojourn.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,12 +19,25 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(quality.crc_remainder("doc_id", 3) == 1, F.lit(False))
+    found = language.predicted(docs.select("doc_id", "text"), language.learn(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score")
+
+
 @query
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(load(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+@query
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
 @query
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
@@ -44,6 +57,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(load(spark, sf_dir, "pages"))
+
+
 @query
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = passages.cleaned(load(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sojourn.llm import decontaminate, language, packing, passages, quality, simhash, urls, vectors
+from sojourn.llm import decontaminate, language, packing, passages, quality, simhash, tokens, urls, vectors, warc
 from sojourn.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,20 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    found = tokens.recounted(tokens.redactions(tokens.counted(docs)))
+    return found.select(
+        "doc_id",
+        F.col("counts.n_before").alias("n_tokens"),
+        F.size("edits").cast("long").alias("n_edits"),
+        F.col("counts.n_after").alias("n_tokens_edited"),
+        "counts.n_leaves",
+        "counts.n_reencoded",
+    )
+
+
 @query
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(load(spark, sf_dir, "pages"))
@@ -68,6 +82,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "cleaned.n_words", "cleaned.n_removed", "cleaned.kept_sha256")
 
 
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read(warc.archive(load(spark, sf_dir, "pages")), payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))

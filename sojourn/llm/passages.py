@@ -204,13 +204,15 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     )
     texts = known.where(~F.col("copy")).select("doc_id", "identity", F.arrays_zip("halves", "places").alias("z"))
 
-    # Level one: half windows in more than one document.
+    # Level one: half windows in more than one document. Written, like the heads below, so that both
+    # sides of the join are shuffled for it and a crowded hash can be split.
     halves = texts.select("doc_id", "identity", F.inline("z"))
-    shared = (
+    shared = stored(
         halves.groupBy("halves")
         .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
         .where("low < high")
-        .select("halves")
+        .select("halves"),
+        "passages-shared",
     )
     alive = (
         halves.join(shared, "halves", "left_semi")
@@ -228,11 +230,12 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     windows = wide.select("doc_id", "turn", F.inline(F.arrays_zip("hashes", "places"))).select(
         "doc_id", "hashes", (F.shiftleft("turn", 32) + F.col("places")).alias("spot")
     )
-    heads = (
+    heads = stored(
         windows.groupBy("hashes")
         .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
         .where("low < high")
-        .select("hashes", "low")
+        .select("hashes", "low"),
+        "passages-heads",
     )
     hits = windows.join(heads, "hashes").where(F.col("doc_id") > F.col("low"))
     cut = (

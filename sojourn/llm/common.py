@@ -13,10 +13,19 @@ from sojourn.session import new_folder
 
 #: Rows of one block of a crowded cell or bucket; a task holds two blocks at a time.
 BLOCK = 4096
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of texts be small: their rows are long, and several are in memory at once."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the given tables."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

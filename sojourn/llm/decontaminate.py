@@ -91,7 +91,7 @@ class Canon:
         tokens = _TOKEN.findall(text) if text else []
         found = list(map(self.known.get, tokens))
         if None in found:
-            if len(self.known) > 400_000:
+            if len(self.known) > 150_000:
                 self._clear()
             self._learn(set(tokens).difference(self.known))
             found = list(map(self.known.__getitem__, tokens))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ _PIECES = pa.schema(
         ("place", pa.int64()),
     ]
 )
-_MARK = re.compile(rb"([.,|])(?<=[a-z].)(?=[ \n])")
+_MARK = re.compile(rb"([!-/:-@\[-`{-~](?<=[a-z0-9].)[!-/:-@\[-`{-~]*)(?=[ \n])")
 
 
 def default_vocabulary() -> str:
@@ -50,17 +51,19 @@ class Encoder:
     """Token ids of texts for a vocabulary that drops white space between words and upper case.
 
     No token spans white space, so the ids of a text are those of its words in order. A word is
-    encoded once and kept as bytes, up to a number of words after which the table starts anew.
-    Single marks at the end of a word are words of their own, as the vocabulary's own split has it.
+    encoded once and kept as bytes. Words are kept in two tables: when the newer one is full it
+    becomes the older one, so words that still occur stay and memory is bounded. Marks at the end of
+    a word are words of their own, as the vocabulary's own split has it.
     """
 
-    def __init__(self, path: str, most: int = 800_000) -> None:
+    def __init__(self, path: str, most: int = 150_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _each(self, new: list[bytes]) -> list[bytes]:
-        out = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+        out = (self.tokenizer.encode(w.decode(), add_special_tokens=False) for w in new)
         return [np.array(e.ids, dtype=np.uint16).tobytes() for e in out]
 
     def _letters(self, new: list[bytes]) -> list[bytes]:
@@ -73,9 +76,22 @@ class Encoder:
         ends = [*(at[1:] * 2).tolist(), len(ids)]
         return [ids[a:b] for a, b in zip((at * 2).tolist(), ends, strict=True)]
 
-    def _learn(self, new: list[bytes]) -> None:
-        letters = [w for w in new if w.decode().isalpha()]
-        other = list(set(new).difference(letters))
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        missing = words.difference(self.known)
+        new = missing.difference(self.older)
+        self.known.update((w, self.older[w]) for w in missing.difference(new))
+        plain, letters, other = [], [], []
+        for w in new:
+            if w.isalpha() and w.islower():
+                plain.append(w)
+            else:
+                (letters if w.decode().isalpha() else other).append(w)
+        # Lower-case ASCII letters are their own byte-level form and one piece of the split.
+        tokenize = self.tokenizer.model.tokenize
+        for w in plain:
+            self.known[w] = array("H", [t.id for t in tokenize(w.decode())]).tobytes()
         for at in range(0, len(letters), 256):
             part = letters[at : at + 256]
             self.known.update(zip(part, self._letters(part), strict=True))
@@ -85,14 +101,9 @@ class Encoder:
         """The ids of each text."""
         for at in range(0, len(texts), 64):
             split = [self._split(t) for t in texts[at : at + 64]]
-            found = [list(map(self.known.get, tokens)) for tokens in split]
-            if any(None in ids for ids in found):
-                if len(self.known) > self.most:
-                    self.known.clear()
-                self._learn(list(set().union(*split).difference(self.known)))
-                found = [map(self.known.__getitem__, tokens) for tokens in split]
-            for ids in found:
-                yield np.frombuffer(b"".join(ids), dtype=np.uint16)
+            self._learn(set().union(*split))
+            for tokens in split:
+                yield np.frombuffer(b"".join(map(self.known.__getitem__, tokens)), dtype=np.uint16)
 
     @staticmethod
     def _split(text: str | None) -> list[bytes]:

@@ -51,7 +51,7 @@ class Hasher:
         self.known: dict[bytes, int] = {}
 
     def words(self, tokens: list[bytes]) -> np.ndarray:
-        if len(self.known) > 400_000:
+        if len(self.known) > 150_000:
             self.known.clear()
         known, digest = self.known, xxhash.xxh3_64_intdigest
         for w in set(tokens).difference(known):

@@ -2,9 +2,9 @@
 
 Texts become template words: numbers, units beside numbers and names inside a sentence turn into
 typed placeholders. Windows of template words are hashed and joined between benchmark and documents.
-An alignment of a document with an item counts when its windows span enough words and its slots are
-consistent: one value of the item always stands for one value of the document, and the other way
-round. Windows that are mostly placeholders say little and are compared by their values instead.
+An alignment of a document with an item counts when its windows span enough words and either keep
+the item's own values or have consistent slots: one value of the item always stands for one value
+of the document, and the other way round. Windows that are mostly placeholders say little and are compared by their values instead.
 """
 
 from __future__ import annotations
@@ -177,7 +177,7 @@ def leaks(
     """(doc_id, item_id, n_windows, place, exact), one row per document and benchmark item it holds.
 
     ``n_windows`` counts the item's windows found, ``place`` is the first template word of the match
-    in the document, ``exact`` tells whether all slots have the item's own values. Texts that are
+    in the document, ``exact`` tells whether a long enough span has the item's own values. Texts that are
     null or without words match nothing. Repeated rows count once; rows that share a doc_id, or have
     none, count as one document, and likewise items. Empty tables give no rows. Other columns are
     not looked at.
@@ -198,23 +198,27 @@ def leaks(
     )
     known = templates.selectExpr("id AS item_id", "length", "hash", "place", "n_windows AS of", "slots")
     pairs = found.join(known, ["length", "hash"]).where(F.size("slots") == F.size("values"))
+    need = F.least(F.col("of"), F.greatest(F.lit(1), F.lit(span + 1) - F.col("length")))
+    slots = F.col("slots")
+    consistent = (F.size(F.array_distinct(slots["slots"])) == F.size(slots)) & (
+        F.size(F.array_distinct(slots["values"])) == F.size(slots)
+    )
     aligned = (
         pairs.groupBy("doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift"))
         .agg(
             F.collect_set("place").alias("places"),
+            F.collect_set(F.when(F.col("slots") == F.col("values"), F.col("place"))).alias("same"),
             F.min("at").alias("at"),
             F.max("of").alias("of"),
             F.max("length").alias("length"),
-            F.flatten(F.collect_set(F.arrays_zip("slots", "values"))).alias("slots"),
+            F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("slots", "values")))).alias("slots"),
         )
-        .withColumn("slots", F.array_distinct("slots"))
-        .withColumn("n", F.size("slots"))
-        .where(F.size(F.array_distinct("slots.slots")) == F.col("n"))
-        .where(F.size(F.array_distinct("slots.values")) == F.col("n"))
-        .where(F.size("places") >= F.least(F.col("of"), F.greatest(F.lit(1), F.lit(span + 1) - F.col("length"))))
+        # A span with the item's own values is a leak whatever happened to the rest.
+        .withColumn("exact", F.size("same") >= need)
+        .where(F.col("exact") | consistent & (F.size("places") >= need))
     )
     return aligned.groupBy("doc_id", "item_id").agg(
         F.max(F.size("places")).cast("long").alias("n_windows"),
         F.min("at").cast("long").alias("place"),
-        F.max(F.forall("slots", lambda s: s["slots"] == s["values"])).alias("exact"),
+        F.max("exact").alias("exact"),
     )

@@ -149,19 +149,17 @@ def _widen(window: int):
         hasher = Hasher()
         for b in batches:
             ids, turns, flat, places, sizes = [], [], [], [], []
-            rows = zip(
-                b.column("doc_id"), b.column("text"), b.column("identity"), b.column("alive"), strict=True
-            )
-            for doc_id, text, identity, alive in rows:
+            rows = zip(b.column("doc_id"), b.column("text"), b.column("turn").to_pylist(), b.column("alive"), strict=True)
+            for doc_id, text, turn, alive in rows:
                 tokens = words(text.as_py())
                 # A text is cut to windows only for its own entry: a doc_id may be repeated.
-                if len(tokens) < window or _identity(tokens) != identity.as_py():
+                if len(tokens) < window or _turn(_identity(tokens)) != turn:
                     continue
                 codes = hasher.words(tokens)
                 _, chosen = _halves(codes, window)
                 at = np.flatnonzero(np.isin(chosen, alive.values.to_numpy(zero_copy_only=False)))
                 ids.append(doc_id.as_py())
-                turns.append(_turn(identity.as_py()))
+                turns.append(turn)
                 flat.append(Hasher.runs(codes, window)[at])
                 places.append(at)
                 sizes.append(len(at))
@@ -202,11 +200,17 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     copies = known.where("copy").select(
         "doc_id", turn.alias("turn"), F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts")
     )
-    texts = known.where(~F.col("copy")).select("doc_id", "identity", F.arrays_zip("halves", "places").alias("z"))
+    texts = known.where(~F.col("copy")).select(
+        "doc_id", F.shiftleft(turn, 32).alias("base"), F.arrays_zip("halves", "places").alias("z")
+    )
 
     # Level one: half windows in more than one document. Written, like the heads below, so that both
     # sides of the join are shuffled for it and a crowded hash can be split.
-    halves = texts.select("doc_id", "identity", F.inline("z"))
+    halves = texts.select("doc_id", "base", F.inline("z")).select(
+        "doc_id", "halves", (F.col("base") + F.col("places")).alias("spot")
+    )
+    turn_of = F.shiftright("spot", 32)
+    place_of = F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
     shared = stored(
         halves.groupBy("halves")
         .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
@@ -216,8 +220,8 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     )
     alive = (
         halves.join(shared, "halves", "left_semi")
-        .groupBy("doc_id", "identity")
-        .agg(F.collect_set("places").alias("alive"))
+        .groupBy("doc_id", turn_of.alias("turn"))
+        .agg(F.collect_set(place_of).alias("alive"))
     )
 
     # Level two: the windows that double them.
@@ -239,8 +243,8 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     )
     hits = windows.join(heads, "hashes").where(F.col("doc_id") > F.col("low"))
     cut = (
-        hits.groupBy("doc_id", F.shiftright("spot", 32).alias("turn"))
-        .agg(F.collect_set(F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("starts"))
+        hits.groupBy("doc_id", turn_of.alias("turn"))
+        .agg(F.collect_set(place_of).alias("starts"))
         .select("doc_id", "turn", F.lit(False).alias("whole"), "starts")
     )
     return stored(

@@ -310,7 +310,9 @@ def place_labels(
     sizes = np.bincount(component, minlength=n_comp)
     full = np.bincount(component, weights=degree, minlength=n_comp) == sizes * (sizes - 1)
 
-    # A component that is a complete graph is one module; the others share one optimisation,
+    if weighted:
+        full &= sizes <= 2  # unequal weights can split a complete graph
+    # Else a component that is a complete graph is one module; the others share one optimisation,
     # because the codelength couples them through the total exit flow.
     module = component.copy()
     open_nodes = np.flatnonzero(~full[component])

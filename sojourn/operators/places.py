@@ -194,7 +194,7 @@ def cluster_points(
     """Cluster places of a whole population: points in, the same rows with ``loc`` out.
 
     ``loc`` is the least node id of the community, or -1 for lone points when
-    ``label_singleton`` is off. Components up to ``component_limit`` unique points are solved one
+    ``label_singleton`` is off and for rows without coordinates. Components up to ``component_limit`` unique points are solved one
     per group; larger ones run as distributed rounds over their edges, so no component has to fit
     in a task. The default resolution bounds how many unique points can share a neighbourhood;
     0 keeps raw coordinates.
@@ -219,7 +219,8 @@ def cluster_points(
     if not large.isEmpty():
         inner = edges.join(large.select(F.col("node").alias("src")), "src")
         labels = labels.unionByName(graph.map_equation_communities(inner.select("src", "dst", "weight")))
-    return rows.join(labels.withColumnRenamed("module", "loc"), "node").drop("node")
+    labelled = rows.join(labels.select("node", F.col("module").alias("loc")), "node", "left")
+    return labelled.withColumn("loc", F.coalesce("loc", F.lit(-1).cast("long"))).drop("node")
 
 
 def shared_stop_locations(events: DataFrame, p: StayParams = StayParams(), **options) -> DataFrame:

@@ -43,8 +43,9 @@ def map_osm_category(pois: DataFrame, tag_table: Sequence[tuple[str, str, str, i
 
 
 def exclude_poi(pois: DataFrame) -> DataFrame:
-    """Venues that have a category and whose type is not excluded by name."""
-    return pois.where(F.col("category").isNotNull() & ~F.col("sub_category").isin(categories.EXCLUDES))
+    """Venues that have a category and whose type is not excluded by name; a null type is not."""
+    excluded = F.coalesce(F.col("sub_category").isin(categories.EXCLUDES), F.lit(False))
+    return pois.where(F.col("category").isNotNull() & ~excluded)
 
 
 # ---------------------------------------------------------------- matching

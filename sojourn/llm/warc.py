@@ -197,12 +197,17 @@ def archive(
         F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload")
     ).withColumn("digest", F.sha2("payload", 256))
 
+    # The sample is chosen by ids alone, so that no task gathers the payloads of all others.
     order = ["hash", "digest", "page_id"]
-    sample = rows.withColumn("hash", F.xxhash64("page_id")).orderBy(*order).limit(SAMPLE_ROWS)
-    so_far = F.sum(F.length("payload")).over(
-        Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    keys = rows.select(F.xxhash64("page_id").alias("hash"), "digest", "page_id", F.length("payload").alias("size"))
+    sample = keys.where("page_id IS NOT NULL").distinct().orderBy(*order).limit(SAMPLE_ROWS)
+    so_far = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    picked = sample.withColumn("upto", so_far).where(F.col("upto") <= SAMPLE_BYTES).select("digest", "page_id")
+    bounded = (
+        rows.join(F.broadcast(picked), ["digest", "page_id"])  # SAMPLE_ROWS rows at most
+        .dropDuplicates(["digest", "page_id"])
+        .orderBy("page_id", "digest")
     )
-    bounded = sample.withColumn("upto", so_far).where(F.col("upto") <= SAMPLE_BYTES)  # of SAMPLE_ROWS rows
     known = dictionary(
         [record(r["page_id"], r["url"], bytes(r["payload"]), r["digest"], None) for r in bounded.collect()]
     )

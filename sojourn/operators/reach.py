@@ -26,10 +26,15 @@ def home_grid_centroids(homes: DataFrame, size_m: int = 250) -> DataFrame:
 
 
 def snap_to_nodes(points: DataFrame, nodes: DataFrame, point_id: str, metres: float = 200.0) -> DataFrame:
-    """Nearest street node within ``metres`` of each point."""
+    """Nearest street node within ``metres`` of each point; ``unsnapped`` gives the points without one."""
     return spatial.nearest(points, nodes, metres, point_id, "node")
 
 
+def unsnapped(points: DataFrame, snapped: DataFrame, point_id: str) -> DataFrame:
+    """The points that no street node is near enough to, so that their loss can be reported."""
+    return points.join(snapped.select(point_id).distinct(), point_id, "left_anti")
+
+
 def walk_times(edges: DataFrame, origins: DataFrame, p: ReachParams = ReachParams()) -> DataFrame:
     """(grid_id, node, metres, minutes): all nodes within the walking limit of each origin.
 

@@ -116,15 +116,21 @@ def _deg_cell(x: Column, size: float) -> Column:
 
 
 def polygon_cells(polygons: DataFrame, ring: str, size_deg: float, pad: Column | float = 0.0) -> DataFrame:
-    """One row per polygon and degree cell its (padded) bounding box touches."""
+    """One row per polygon and square cell (side ``size_deg`` in the ring's unit) that its padded
+    bounding box touches."""
     west, south, east, north = geo.ring_bounds(ring)
     pad = pad if isinstance(pad, Column) else F.lit(pad)
+    # Bounds first: a caller that drops the ring has cells without copies of it.
+    boxed = polygons.withColumns(
+        {
+            "_x": F.struct(_deg_cell(west - pad, size_deg).alias("lo"), _deg_cell(east + pad, size_deg).alias("hi")),
+            "_y": F.struct(_deg_cell(south - pad, size_deg).alias("lo"), _deg_cell(north + pad, size_deg).alias("hi")),
+        }
+    )
     return (
-        polygons.withColumn(
-            "_cx", F.explode(F.sequence(_deg_cell(west - pad, size_deg), _deg_cell(east + pad, size_deg)))
-        ).withColumn(
-            "_cy", F.explode(F.sequence(_deg_cell(south - pad, size_deg), _deg_cell(north + pad, size_deg)))
-        )
+        boxed.withColumn("_cx", F.explode(F.sequence("_x.lo", "_x.hi")))
+        .withColumn("_cy", F.explode(F.sequence("_y.lo", "_y.hi")))
+        .drop("_x", "_y")
     )
 
 
@@ -138,16 +144,19 @@ def within_polygons(
     """All (point, polygon id) pairs with the point inside, by cell equi-join and ray casting.
 
     Points on one spot are tested once: coordinates are folded before the join and spread back.
+    Cells carry ids alone; the ring joins the candidate pairs afterwards. Equal polygons of one id
+    count once.
     """
     spots = points.select("latitude", "longitude").distinct()
     spots = spots.withColumn("_cx", _deg_cell(F.col("longitude"), size_deg)).withColumn(
         "_cy", _deg_cell(F.col("latitude"), size_deg)
     )
-    shapes = polygon_cells(polygons.select(polygon_id, ring), ring, size_deg).select(
-        polygon_id, geo.ring_edges(ring).alias("_edges"), "_cx", "_cy"
-    )
+    shapes = polygons.select(polygon_id, ring).distinct().withColumn("_shape", F.xxhash64(ring))
+    cells = polygon_cells(shapes, ring, size_deg).select(polygon_id, "_shape", "_cx", "_cy")
+    rings = shapes.select(polygon_id, "_shape", geo.ring_edges(ring).alias("_edges"))
     hits = (
-        spots.join(shapes, ["_cx", "_cy"])
+        spots.join(cells, ["_cx", "_cy"])
+        .join(rings, [polygon_id, "_shape"])
         .where(geo.inside_edges("_edges", "longitude", "latitude"))
         .select("latitude", "longitude", polygon_id)
     )

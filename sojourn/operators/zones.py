@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sojourn.functions import geo
 from sojourn.operators.clean import in_boxes
-from sojourn.operators.spatial import within_polygons
+from sojourn.operators.spatial import polygon_cells, within_polygons
 from sojourn.params import ScenarioParams
 
 
@@ -34,22 +34,15 @@ def link_home_buildings(homes: DataFrame, buildings: DataFrame, metres: float =
     spots = spots.withColumns(
         {"_cx": F.floor(F.col("_x") / size).cast("bigint"), "_cy": F.floor(F.col("_y") / size).cast("bigint")}
     )
-    shapes = buildings.select("building_id", geo.project_ring("ring").alias("_ring"))
-    west, south, east, north = geo.ring_bounds("_ring")
-
-    def cells(lo, hi):
-        return F.explode(
-            F.sequence(F.floor((lo - metres) / size).cast("bigint"), F.floor((hi + metres) / size).cast("bigint"))
-        )
-
-    shapes = (
-        shapes.withColumn("_cx", cells(west, east))
-        .withColumn("_cy", cells(south, north))
-        .select("building_id", geo.ring_edges("_ring").alias("_edges"), "_cx", "_cy")
-    )
+    shapes = buildings.select("building_id", geo.project_ring("ring").alias("_ring")).distinct()
+    shapes = shapes.withColumn("_shape", F.xxhash64("_ring"))
+    # Cells carry ids alone; the ring joins the candidate pairs afterwards.
+    cells = polygon_cells(shapes, "_ring", size, metres).select("building_id", "_shape", "_cx", "_cy")
+    rings = shapes.select("building_id", "_shape", geo.ring_edges("_ring").alias("_edges"))
     d = F.when(geo.inside_edges("_edges", "_x", "_y"), F.lit(0.0)).otherwise(geo.edge_distance("_edges", "_x", "_y"))
     best = (
-        spots.join(shapes, ["_cx", "_cy"])
+        spots.join(cells, ["_cx", "_cy"])
+        .join(rings, ["building_id", "_shape"])
         .select("home_latitude", "home_longitude", "building_id", d.alias("distance_m"))
         .where(F.col("distance_m") <= metres)
         .groupBy("home_latitude", "home_longitude")

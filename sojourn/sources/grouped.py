@@ -48,14 +48,56 @@ GROUPED_SCHEMA = (
 )
 
 
-def read_grouped(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(GROUPED_SCHEMA).option("ignoreCorruptFiles", True).parquet(path)
+def read_grouped(spark: SparkSession, path: str, skip_corrupt: bool = False) -> DataFrame:
+    """All rows of the layout. A corrupt file fails the job, or is passed over with
+    ``skip_corrupt``; ``unreadable_files`` then tells which ones those are."""
+    return spark.read.schema(GROUPED_SCHEMA).option("ignoreCorruptFiles", skip_corrupt).parquet(path)
+
+
+def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path) of the Parquet files below ``path`` from which ``skip_corrupt`` gets no row."""
+    file = F.col("_metadata.file_path").alias("path")
+    listed = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.parquet")
+        .load(path)
+        .select(file)
+    )
+    # The hash makes every column be decoded.
+    rows = read_grouped(spark, path, skip_corrupt=True).select(file, F.xxhash64(*GROUPED_COLUMNS).alias("h"))
+    good = rows.groupBy("path").agg(F.max("h").alias("h")).where("h IS NOT NULL")
+    return listed.join(good, "path", "left_anti")
 
 
-def scan_group_range(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
+def scan_group_range(
+    spark: SparkSession, path: str, start: int, end: int, skip_corrupt: bool = False
+) -> DataFrame:
     """Trace columns of groups in [start, end): other folders and columns are never opened."""
     wanted = (F.col("grp") >= start) & (F.col("grp") < end)
-    return read_grouped(spark, path).where(wanted).select("device_aid", "timestamp", "latitude", "longitude")
+    rows = read_grouped(spark, path, skip_corrupt).where(wanted)
+    return rows.select("device_aid", "timestamp", "latitude", "longitude")
+
+
+# ---------------------------------------------------------------- sinks of registry and manifest
+def write_registry(pings: DataFrame, path: str, n_groups: int = N_GROUPS) -> None:
+    """The registry of whole months, one folder per month; only months present are replaced."""
+    rows = device_registry(pings, n_groups, ordered=False).hint("rebalance", "month")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+
+
+MANIFEST_SCHEMA = "records bigint, devices bigint, records_per_group map<int,bigint>, month string, day string"
+
+
+def write_manifest(pings: DataFrame, path: str) -> None:
+    """Manifest rows of whole days of grouped pings; only days present are replaced."""
+    rows = manifest_days(pings)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month", "day").parquet(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest, as ``days_to_do`` of the incremental ingest takes it."""
+    return spark.read.schema(MANIFEST_SCHEMA).parquet(path)
 
 
 # ---------------------------------------------------------------- manifest
@@ -97,11 +139,11 @@ def manifest_summary(pings: DataFrame) -> DataFrame:
     return totals.withColumn("days_processed", days)
 
 
-def profile_pings(pings: DataFrame, approximate: bool = False) -> DataFrame:
-    """Dry run over raw pings with month, day and file: totals and expected group sizes.
+def profile_pings(pings: DataFrame, approximate: bool = False, files: DataFrame | None = None) -> DataFrame:
+    """Dry run over raw pings with month and day: totals and expected group sizes.
 
     The exact form counts devices by one partial aggregate per device; ``approximate`` uses a
-    sketch instead.
+    sketch instead. With ``files`` (the rows of ``discover_days``) a column of that name counts them.
     """
     rows = pings.na.drop(subset=["device_aid", "latitude", "longitude"])
     n_days = pings.select("month", "day").distinct().agg(F.count(F.lit(1))).scalar()
@@ -113,6 +155,8 @@ def profile_pings(pings: DataFrame, approximate: bool = False) -> DataFrame:
         base = rows.groupBy("device_aid").agg(F.count(F.lit(1)).alias("_n")).agg(
             F.coalesce(F.sum("_n"), F.lit(0)).alias("records"), F.count("device_aid").alias("devices")
         )
+    if files is not None:
+        base = base.withColumn("files", files.agg(F.count(F.lit(1))).scalar())
     return base.withColumns(
         {
             "days": n_days,

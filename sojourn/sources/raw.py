@@ -64,14 +64,10 @@ def parse_rows(rows: DataFrame) -> DataFrame:
     """Typed kept columns of header-less raw rows (``RAW_SCHEMA``).
 
     Header lines are verified and dropped: a file without one of the kept columns fails the job.
-    Rows longer than the header are skipped.
+    Rows longer than the header are skipped. A line is a header only if it holds column names, so
+    garbage in a data line gives nulls (``bad_lines`` counts such lines) and never fails the job.
     """
-    looks_like_header = (
-        F.col("timestamp").try_cast("double").isNull()
-        & F.col("latitude").try_cast("double").isNull()
-        & (F.col("timestamp") != "")
-        & (F.coalesce("latitude", F.lit("")) != "")
-    )
+    looks_like_header = F.col("timestamp").isin(RAW_COLUMNS) & F.col("latitude").isin(RAW_COLUMNS)
     names = F.concat_ws(",", *KEPT_COLUMNS)
     expected = ",".join(KEPT_COLUMNS)
     keep = F.when(
@@ -95,25 +91,47 @@ def typed(rows: DataFrame, *extra: str) -> DataFrame:
     )
 
 
-def scan_raw_pings(spark: SparkSession, root: str) -> DataFrame:
-    """All ``.csv.gz`` pings below ``root`` with month and day; only kept columns are parsed."""
+def raw_lines(reader, root: str) -> DataFrame:
+    """Untyped rows of the ``.csv.gz`` files below ``root`` with month, day and path; ``reader`` is
+    ``spark.read`` or ``spark.readStream``."""
     rows = (
-        spark.read.schema(RAW_SCHEMA)
+        reader.schema(RAW_SCHEMA)
         .options(**CSV_OPTIONS)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.csv.gz")
         .csv(root)
     )
-    month, day = path_day(F.col("_metadata.file_path"), root)
-    rows = rows.withColumns({"month": month, "day": day}).where(F.col("day").isNotNull())
-    return typed(parse_rows(rows), "month", "day")
+    path = F.col("_metadata.file_path")
+    month, day = path_day(path, root)
+    return rows.withColumns({"month": month, "day": day, "path": path}).where(F.col("day").isNotNull())
+
+
+def scan_raw_pings(spark: SparkSession, root: str) -> DataFrame:
+    """All ``.csv.gz`` pings below ``root`` with month and day; only kept columns are parsed."""
+    return typed(parse_rows(raw_lines(spark.read, root)), "month", "day")
+
+
+def bad_lines(spark: SparkSession, root: str) -> DataFrame:
+    """(path, n_lines, n_bad) per text file below ``root``, headers left out. A line is bad if it is
+    longer than the header, or if its time or a coordinate is neither empty nor a number."""
+    lines = raw_lines(spark.read, root).where(~F.coalesce(F.col("timestamp").isin(RAW_COLUMNS), F.lit(False)))
+    bad = F.col(_SURPLUS).isNotNull()
+    for name, kind in (("timestamp", "bigint"), ("latitude", "double"), ("longitude", "double")):
+        bad = bad | ((F.coalesce(name, F.lit("")) != "") & F.col(name).try_cast(kind).isNull())
+    return lines.groupBy("path").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(bad).alias("n_bad"))
 
 
 # ---------------------------------------------------------------- archives
 def scan_zip_pings(spark: SparkSession, root: str) -> DataFrame:
     """Pings of every ``.csv`` member of every zip archive below ``root``, with month and day."""
+    return zip_lines(spark.read, root)
+
+
+def zip_lines(reader, root: str) -> DataFrame:
+    """As ``scan_zip_pings``; ``reader`` is ``spark.read`` or ``spark.readStream``."""
     archives = (
-        spark.read.format("binaryFile")
+        reader.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.zip")
         .load(root)

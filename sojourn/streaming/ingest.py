@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sojourn.params import N_GROUPS
 from sojourn.sources import raw
@@ -13,24 +12,19 @@ from sojourn.sources.grouped import GROUPED_COLUMNS, with_group
 def ingest_incremental(
     spark: SparkSession, root: str, out: str, checkpoint: str, n_groups: int = N_GROUPS
 ) -> None:
-    """Append new ``.csv.gz`` files below ``root`` to the grouped layout at ``out``, then stop.
+    """Append new ``.csv.gz`` files and zip archives below ``root`` to the grouped layout at ``out``,
+    then stop.
 
     A file stream with ``availableNow``: progress is committed per file, so a crash in the middle
-    of a day neither loses nor repeats rows.
+    of a day neither loses nor repeats rows. Rows are shuffled by folder before they are written, so
+    a batch leaves one file per folder, not one per task and folder.
     """
-    rows = (
-        spark.readStream.schema(raw.RAW_SCHEMA)
-        .options(**raw.CSV_OPTIONS)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv.gz")
-        .csv(root)
-    )
-    month, day = raw.path_day(F.col("_metadata.file_path"), root)
-    rows = rows.withColumns({"month": month, "day": day}).where(F.col("day").isNotNull())
-    pings = raw.typed(raw.parse_rows(rows), "month", "day")
+    texts = raw.typed(raw.parse_rows(raw.raw_lines(spark.readStream, root)), "month", "day")
+    pings = texts.unionByName(raw.zip_lines(spark.readStream, root))
     pings = pings.na.drop(subset=["device_aid", "latitude", "longitude"])
     query = (
         with_group(pings.select(*GROUPED_COLUMNS, "month", "day"), n_groups)
+        .repartition("grp", "month", "day")
         .writeStream.format("parquet")
         .partitionBy("grp", "month", "day")
         .option("path", out)

@@ -77,6 +77,52 @@ def test_incremental_runs_take_only_new_files(spark, tmp_path):
     assert sorted(r.timestamp for r in grouped.read_grouped(spark, out).collect()) == [1, 2, 3]
 
 
+def test_incremental_runs_take_archives_and_leave_one_file_per_folder(spark, tmp_path):
+    root, out, ckpt = tmp_path / "raw", tmp_path / "out", str(tmp_path / "ckpt")
+    for i in range(4):
+        gz(root / "01" / "02" / f"{i}.csv.gz", line(i, "x", 1, 2))
+    zipped(root / "01" / "02" / "z.zip", {"a.csv": HEAD + "\n" + line(9, "x", 1, 2) + "\n"})
+    for _ in range(2):
+        ingest_incremental(spark, str(root), str(out), ckpt)
+    assert sorted(r.timestamp for r in grouped.read_grouped(spark, str(out)).collect()) == [0, 1, 2, 3, 9]
+    assert len(list(out.glob("grp=*/month=01/day=02/*.parquet"))) == 1
+
+
+def test_garbage_in_a_line_is_counted_and_does_not_fail(spark, tmp_path):
+    gz(tmp_path / "01" / "02" / "a.csv.gz", line(1, "x", 1, 2), line("??", "y", "north", 2), line(3, "z", 1, 2, "\tmore"), line(4, "w", "", 2))
+    assert [r.timestamp for r in raw.scan_all(spark, str(tmp_path)).collect()] == [1]
+    assert [(r.n_lines, r.n_bad) for r in raw.bad_lines(spark, str(tmp_path)).collect()] == [(4, 2)]
+
+
+PINGS = "timestamp bigint, device_aid string, latitude double, longitude double, location_method string, month string, day string"
+
+
+def test_corrupt_files_fail_or_are_passed_over_and_listed(spark, tmp_path):
+    out = tmp_path / "grouped"
+    rows = spark.createDataFrame([(i, f"d{i}", 1.0, 2.0, "gps", "01", "02") for i in range(20)], PINGS)
+    grouped.write_grouped_pings(rows, str(out))
+    assert grouped.unreadable_files(spark, str(out)).count() == 0
+    (out / "grp=3" / "month=01" / "day=02").mkdir(parents=True, exist_ok=True)
+    (out / "grp=3" / "month=01" / "day=02" / "broken.parquet").write_bytes(b"PAR1 this is not a table")
+    with pytest.raises(Exception):
+        grouped.read_grouped(spark, str(out)).collect()
+    assert len(grouped.read_grouped(spark, str(out), skip_corrupt=True).collect()) == 20
+    assert [r.path.rsplit("/", 1)[1] for r in grouped.unreadable_files(spark, str(out)).collect()] == ["broken.parquet"]
+
+
+def test_registry_manifest_and_file_count(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"d{i % 3}", 1.0, 2.0, "gps", "01", f"0{1 + i % 2}") for i in range(12)], PINGS)
+    for _ in range(2):  # writing again replaces
+        grouped.write_registry(rows, str(tmp_path / "registry"))
+        grouped.write_manifest(grouped.with_group(rows), str(tmp_path / "manifest"))
+    assert {r.device_aid for r in spark.read.parquet(str(tmp_path / "registry")).collect()} == {"d0", "d1", "d2"}
+    done = grouped.read_manifest(spark, str(tmp_path / "manifest"))
+    assert sorted((r.day, r.records, r.devices, sum(r.records_per_group.values())) for r in done.collect()) == [("01", 6, 3, 6), ("02", 6, 3, 6)]
+    days = spark.createDataFrame([("01", "02"), ("01", "03")], "month string, day string")
+    assert [r.day for r in days_to_do(days, done).collect()] == ["03"]
+    assert grouped.profile_pings(rows, files=days).first().files == 2
+
+
 def test_rewriting_a_day_replaces_only_that_day(spark, tmp_path):
     schema = "timestamp bigint, device_aid string, latitude double, longitude double, location_method string, month string, day string"
 

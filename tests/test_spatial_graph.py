@@ -49,6 +49,24 @@ def test_within_polygons_on_a_concave_ring(spark):
     assert got == {1, 3, 5}
 
 
+def test_polygons_that_share_an_id_are_told_apart_and_equal_ones_count_once(spark):
+    ring = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]
+    shift = [(x + 5, y) for x, y in ring]
+    names = "pid bigint, ring array<struct<lon:double,lat:double>>"
+    shapes = spark.createDataFrame([(1, ring), (1, ring), (1, shift)], names)
+    rows = [(1, 0.5, 0.5), (2, 0.5, 5.5), (3, 0.5, 3.0)]
+    got = sorted((r.id, r.pid) for r in spatial.within_polygons(points(spark, rows), shapes, "pid", size_deg=0.1).collect())
+    assert got == [(1, 1), (2, 1)]
+
+
+def test_unsnapped_points_are_reported(spark):
+    from sojourn.operators import reach
+
+    at = points(spark, [(1, 10.0, 10.0), (2, 20.0, 10.0)])
+    nodes = points(spark, [(7, 10.0001, 10.0)], "node bigint, latitude double, longitude double")
+    assert [r.id for r in reach.unsnapped(at, reach.snap_to_nodes(at, nodes, "id"), "id").collect()] == [2]
+
+
 def test_ring_area_and_projection(spark):
     row = spark.range(1).select(*[c.alias(n) for c, n in zip(geo.project_xy(F.lit(59.0), F.lit(18.0)), "xy")]).first()
     # Published control values for this grid at 59 N, 18 E lie near these metres.

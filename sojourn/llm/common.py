@@ -39,6 +39,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete a table that ``stored`` wrote, once all that was computed from it is stored itself."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def words(text: str | bytes | None) -> list[bytes]:
     """Maximal runs of bytes other than space and \\x09-\\x0D (what bytes.split takes for white space)."""
     if not text:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sojourn.llm.common import batch, lists, stored, words
+from sojourn.llm.common import batch, forget, lists, stored, words
 
 WINDOW = 50
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd multiplier of the rolling hash
@@ -186,17 +186,19 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     if window < 2 or window % 2:
         raise ValueError("window must be even")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    seen = stored(
+    scan = stored(
         rows.where("doc_id IS NOT NULL").mapInArrow(
             _scan(window), "doc_id long, identity binary, n_words long, halves array<long>, places array<int>"
         ),
         "passages-scan",
-    ).where(F.col("n_words") >= window)
+    )
+    seen = scan.where(F.col("n_words") >= window)
     firsts = seen.groupBy("identity").agg(F.min("doc_id").alias("first"))
     turn = F.conv(F.hex(F.concat(F.substring("identity", 2, 1), F.substring("identity", 1, 1))), 16, 10).cast("long")
     known = stored(
         seen.join(firsts, "identity").withColumn("copy", F.col("doc_id") > F.col("first")), "passages-known"
     )
+    forget(scan)
     copies = known.where("copy").select(
         "doc_id", turn.alias("turn"), F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts")
     )
@@ -226,7 +228,8 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
 
     # Level two: the windows that double them.
     wide = stored(
-        rows.join(alive, "doc_id").mapInArrow(
+        # Texts are long and shrink well in files: at no size is a table of them broadcast.
+        rows.join(alive.hint("merge"), "doc_id").mapInArrow(
             _widen(window), "doc_id long, turn long, hashes array<long>, places array<int>"
         ),
         "passages-wide",
@@ -247,12 +250,15 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
         .agg(F.collect_set(place_of).alias("starts"))
         .select("doc_id", "turn", F.lit(False).alias("whole"), "starts")
     )
-    return stored(
+    cuts = stored(
         copies.unionByName(cut)
         .groupBy("doc_id")
         .agg(F.collect_set(F.struct("turn", "whole", "starts")).alias("cuts")),
         "passages-cuts",
     )
+    for table in (known, shared, wide, heads):
+        forget(table)
+    return cuts
 
 
 def _clean(window: int) -> Column:
@@ -299,5 +305,5 @@ def cleaned(
     rows. ``into`` must not be a column of ``docs``; no other name matters.
     """
     cuts = removals(docs, doc_id, text, window).select(F.col("doc_id").alias("__id"), F.col("cuts").alias("__cuts"))
-    joined = docs.join(cuts, F.col(doc_id).cast("long") == F.col("__id"), "left")
+    joined = docs.join(cuts.hint("merge"), F.col(doc_id).cast("long") == F.col("__id"), "left")
     return joined.withColumn(into, _clean(window)(F.col(text), F.col("__cuts"))).drop("__id", "__cuts")

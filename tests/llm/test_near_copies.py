@@ -1,0 +1,38 @@
+"""The near-copy stage: five-word shingles and a Jaccard similarity of 0.8 or more."""
+
+import random
+
+import corpus_pipeline
+from sojourn.llm import simhash
+from tests.llm.test_operators import prose
+
+
+def test_near_copies_of_a_few_changed_words_go(spark):
+    rng = random.Random(5)
+    base, other = prose(250, rng).split(), prose(90, rng).split()
+    near, far = list(base), list(base)
+    near[120] = "changed"
+    near[200] = "changed"  # 236 of 256 shingles
+    for at in range(10, 250, 20):
+        far[at] = "changed"  # 12 changes: 186 of 306 shingles
+    texts = [base, far, near, other, other[:-20], other[5:] + ["end"], [], None, ["one", "two"], ["ONE", "two"]]
+    docs = spark.createDataFrame(
+        [(i, None if t is None else " ".join(t), "en", "x", 1) for i, t in enumerate(texts)],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, None)
+    # 70 of 86 words of ``other`` are 66 of 86 shingles, below 0.8; without its first five words it is above.
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 3, 4, 6, 8]
+    assert simhash.near_duplicates(docs, row="n_chars").where("component_id <> doc_id").count() < 4
+
+
+def test_a_crowded_group_of_near_copies_stays_whole(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "COPY_BLOCK", 8)
+    rng = random.Random(6)
+    base = prose(120, rng).split()
+    docs = [(i, " ".join(base[: i % 80] + [f"x{i}"] + base[i % 80 + 1 :])) for i in range(60)]
+    docs += [(100 + i, prose(60, rng)) for i in range(40)]
+    found = simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "doc_id AS row"), "row")
+    roots = {r["doc_id"]: r["root"] for r in found.collect()}
+    assert len({roots[i] for i in range(60)}) == 1 and len(set(roots.values())) == 41

@@ -1,10 +1,15 @@
 """Benchmark decontamination by templates: finds items whose numbers, names and units were changed.
 
-Texts become template words: numbers, units beside numbers and names inside a sentence turn into
-typed placeholders. Windows of template words are hashed and joined between benchmark and documents.
-An alignment of a document with an item counts when its windows span enough words and either keep
-the item's own values or have consistent slots: one value of the item always stands for one value
-of the document, and the other way round. Windows that are mostly placeholders say little and are compared by their values instead.
+Texts become template words: numbers, units beside numbers and names turn into typed placeholders.
+Windows of template words are hashed and joined between benchmark and documents, in three forms:
+by the words themselves; with names inside a sentence as placeholders; and with every capitalised
+word as part of a name, where a run of name words is one placeholder whose value is the whole run.
+The last does not depend on what stands before a passage, nor on how many words a name has.
+
+An alignment of a document with an item counts when its windows span enough words and either have
+the item's own words, or hold enough ordinary words over the span and have consistent slots: one value
+of the item always stands for one value of the document, and the other way round. Windows of
+placeholders alone say nothing and are compared by their words only.
 """
 
 from __future__ import annotations
@@ -22,8 +27,10 @@ from sojourn.llm.common import batch, stored
 from sojourn.llm.passages import Hasher
 
 WINDOW = 8
-#: A window with fewer ordinary words than this is compared by its values.
+#: Ordinary words that an alignment with changed values has to hold, or all if it is shorter.
 LITERALS = 5
+#: Alignments whose shifts differ by so much at most may add up: a changed value had more words.
+DRIFT = 2
 #: An alignment has to span so many template words, or the whole item if that is shorter.
 SPAN = 13
 
@@ -43,17 +50,24 @@ _WORD, _CAPITAL, _NUMBER, _UNIT, _SIGN, _STOP = range(6)
 #: whatever the benchmark. A fuller filter lets more windows through, and loses none.
 _BITS = 24
 
+_WORDS, _INNER, _RUNS = range(3)
+
 _TEMPLATE = pa.schema(
     [
         ("id", pa.int64()),
+        ("form", pa.int32()),
         ("length", pa.int32()),
         ("hash", pa.int64()),
         ("place", pa.int32()),
+        ("word", pa.int32()),
         ("n_windows", pa.int32()),
+        ("plain", pa.list_(pa.int32())),
         ("slots", pa.list_(pa.string())),
     ]
 )
-_TEMPLATE_SQL = "id long, length int, hash long, place int, n_windows int, slots array<string>"
+_TEMPLATE_SQL = (
+    "id long, form int, length int, hash long, place int, word int, n_windows int, plain array<int>, slots array<string>"
+)
 
 
 class Canon:
@@ -86,8 +100,8 @@ class Canon:
             self.kinds[at] = self._kind(t)
             self.known[t] = at
 
-    def template(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """Template codes, exact codes, whether each is a slot, and the slot values in order."""
+    def forms(self, text: str | None) -> list[Form]:
+        """The text in its three forms."""
         tokens = _TOKEN.findall(text) if text else []
         found = list(map(self.known.get, tokens))
         if None in found:
@@ -99,26 +113,57 @@ class Canon:
         kind, exact = self.kinds[at], self.hashes[at]
         before = np.concatenate([[_STOP], kind[:-1]]) if len(kind) else kind
         after = np.concatenate([kind[1:], [_STOP]]) if len(kind) else kind
-        name = (kind == _CAPITAL) & (before != _STOP)
+        capital = kind == _CAPITAL
+        name = capital & (before != _STOP)
         unit = ((kind == _UNIT) | (kind == _SIGN)) & (before == _NUMBER) | (kind == _SIGN) & (after == _NUMBER)
         number = kind == _NUMBER
-        slot = name | unit | number
-        codes = np.where(name, np.uint64(1), np.where(unit, np.uint64(2), np.where(number, np.uint64(3), exact)))
+        codes = np.where(unit, np.uint64(2), np.where(number, np.uint64(3), exact))
         keep = (kind != _STOP) & ((kind != _SIGN) | unit)
-        slot = slot[keep]
-        where = np.flatnonzero(keep)[slot]
-        label = np.where(name, "a", np.where(unit, "u", "n"))
-        values = [f"{label[i]}:{tokens[i].lower()}" for i in where.tolist()]
-        return codes[keep], exact[keep], slot, values
-
-
-def _windows(codes: np.ndarray, exact: np.ndarray, slot: np.ndarray, length: int) -> np.ndarray:
-    """Hash of every window of ``length`` template words."""
-    plain = np.concatenate([[0], np.cumsum(~slot)])
-    literal = plain[length:] - plain[:-length]
-    return np.where(
-        literal >= min(LITERALS, length), Hasher.runs(codes, length), ~Hasher.runs(exact, length)
-    )
+        word = np.flatnonzero(keep)
+        folded = np.flatnonzero(keep & ~(capital & (before == _CAPITAL)))
+        label = np.where(unit, "u", np.where(number, "n", "a"))
+        inner = np.where(name, np.uint64(1), codes)
+        runs = np.where(capital, np.uint64(1), codes)
+        order = np.cumsum(keep) - 1
+        none = np.zeros(len(word), dtype=bool)
+        return [
+            Form(_WORDS, exact[word], none, word, order, tokens, label, capital),
+            Form(_INNER, inner[word], (name | unit | number)[word], word, order, tokens, label, None),
+        ]
+
+
+class Form:
+    """Codes of one form of a text, whether each is a slot, and the values of the slots when asked."""
+
+    def __init__(self, form, codes, slot, at, order, tokens, label, capital) -> None:
+        self.form, self.codes, self.slot, self.at = form, codes, slot, at
+        self._order, self._tokens, self._label, self._capital = order, tokens, label, capital
+        self._known: dict[int, str] = {}
+
+    def word(self, i: int) -> int:
+        """The place of code i among the words of the text."""
+        return int(self._order[self.at[i]])
+
+    def _value(self, i: int) -> str:
+        if i not in self._known:
+            a = int(self.at[i])
+            z = a + 1
+            if self._capital is not None and self._capital[a]:
+                while z < len(self._tokens) and self._capital[z]:
+                    z += 1
+            self._known[i] = f"{self._label[a]}:{' '.join(self._tokens[a:z]).lower()}"
+        return self._known[i]
+
+    def values(self, i: int, length: int) -> list[str]:
+        return [self._value(j) for j in range(i, i + length) if self.slot[j]]
+
+    def plain(self, i: int, length: int) -> list[int]:
+        return [j for j in range(i, i + length) if not self.slot[j]]
+
+    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of every window of ``length`` codes, and whether it has an ordinary word."""
+        plain = np.concatenate([[0], np.cumsum(~self.slot)])
+        return Hasher.runs(self.codes, length) + np.uint64(self.form), plain[length:] > plain[:-length]
 
 
 def _templates(lengths: list[int] | None, passing: np.ndarray | None, window: int):
@@ -127,27 +172,35 @@ def _templates(lengths: list[int] | None, passing: np.ndarray | None, window: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
         for b in batches:
-            ids, sizes, hashes, places, counts, slots = [], [], [], [], [], []
+            ids, forms, sizes, hashes, places, word, counts, plain, slots = ([] for _ in range(9))
             for row, text in zip(b.column("id").to_pylist(), b.column("text"), strict=True):
-                codes, exact, slot, values = canon.template(text.as_py())
-                order = np.concatenate([[0], np.cumsum(slot)])
-                for length in lengths or [min(window, len(codes))]:
-                    if not length or len(codes) < length:
-                        continue
-                    h = _windows(codes, exact, slot, length)
-                    at = np.arange(len(h))
-                    if passing is not None:
-                        bit = h >> np.uint64(64 - _BITS)
-                        at = np.flatnonzero(passing[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
-                    ids += [row] * len(at)
-                    sizes += [length] * len(at)
-                    counts += [len(h)] * len(at)
-                    hashes.append(h[at])
-                    places.append(at)
-                    slots += [values[order[i] : order[i + length]] for i in at.tolist()]
+                for f in canon.forms(text.as_py()):
+                    for length in lengths or [min(window, len(f.codes))]:
+                        if not length or len(f.codes) < length:
+                            continue
+                        h, some = f.windows(length)
+                        if passing is not None:
+                            bit = h >> np.uint64(64 - _BITS)
+                            on = passing[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1
+                            some &= on.astype(bool)
+                        at = np.flatnonzero(some)
+                        if not at.size:
+                            continue
+                        ids += [row] * len(at)
+                        forms += [f.form] * len(at)
+                        sizes += [length] * len(at)
+                        counts += [len(h)] * len(at)
+                        hashes.append(h[at])
+                        places.append(at)
+                        at = at.tolist()
+                        word += [f.word(i) for i in at]
+                        plain += [f.plain(i, length) if passing is None else None for i in at]
+                        slots += [f.values(i, length) for i in at]
             if ids:
                 h = np.concatenate(hashes).view(np.int64)
-                yield batch(_TEMPLATE, [ids, sizes, h, np.concatenate(places), counts, slots])
+                yield batch(
+                    _TEMPLATE, [ids, forms, sizes, h, np.concatenate(places), word, counts, plain, slots]
+                )
 
     return run
 
@@ -194,31 +247,88 @@ def leaks(
             yield from _templates(lengths, passing.value, window)(batches)
 
     found = texts.mapInArrow(scan, _TEMPLATE_SQL).selectExpr(
-        "id AS doc_id", "length", "hash", "place AS at", "slots AS values"
+        "id AS doc_id", "form", "length", "hash", "place AS at", "word", "slots AS values"
     )
-    known = templates.selectExpr("id AS item_id", "length", "hash", "place", "n_windows AS of", "slots")
-    pairs = found.join(known, ["length", "hash"]).where(F.size("slots") == F.size("values"))
-    need = F.least(F.col("of"), F.greatest(F.lit(1), F.lit(span + 1) - F.col("length")))
-    slots = F.col("slots")
-    consistent = (F.size(F.array_distinct(slots["slots"])) == F.size(slots)) & (
-        F.size(F.array_distinct(slots["values"])) == F.size(slots)
+    known = templates.selectExpr(
+        "id AS item_id", "form", "length", "hash", "place", "n_windows AS of", "plain", "slots"
+    )
+    pairs = found.join(known, ["form", "length", "hash"]).where(F.size("slots") == F.size("values"))
+    # Every alignment is judged by its telling windows, by all windows, and with its neighbours.
+    telling = (F.size("plain") >= F.least(F.lit(LITERALS), F.col("length"))) | (F.col("slots") == F.col("values"))
+    shift = F.col("at") - F.col("place")
+
+    def view(kind: int, by: int = 0):
+        return F.struct(F.lit(kind).alias("kind"), (shift + by).alias("shift"))
+
+    views = F.when(F.col("form") == _WORDS, F.array(view(1))).otherwise(
+        F.concat(
+            F.when(telling, F.array(view(0))).otherwise(F.array().cast("array<struct<kind:int,shift:int>>")),
+            F.array(view(1), *(view(2, d) for d in range(-DRIFT, DRIFT + 1))),
+        )
+    )
+    # A name at either end of an item may run on into the words around the passage.
+    last = F.col("of") + F.col("length") - 2
+    zipped = F.transform(
+        F.arrays_zip("slots", "values"),
+        lambda z, i: F.struct(
+            z["slots"].alias("slots"),
+            z["values"].alias("values"),
+            (
+                (F.col("form") == _RUNS)
+                & z["slots"].startswith("a:")
+                & (
+                    (F.col("place") == 0) & ~F.array_contains("plain", 0) & (i == 0)
+                    | (F.col("place") == F.col("of") - 1)
+                    & ~F.array_contains("plain", last.cast("int"))
+                    & (i == F.size("slots") - 1)
+                )
+            ).alias("edge"),
+        ),
     )
+
+    def fits(e, s):
+        """Whether the value at an end may be that of slot s, where it is the same slot of the item."""
+        v = F.substring(s["values"], 3, 1 << 30)
+        more = e["values"].endswith(F.concat(F.lit(" "), v)) | e["values"].startswith(F.concat(s["values"], F.lit(" ")))
+        same = e["values"] == s["values"]
+        return F.when(e["slots"] == s["slots"], same | more).otherwise(~same)
+
+    slots, places = F.filter("slots", lambda s: ~s["edge"]), F.array_sort("places")
+    ends = F.filter("slots", lambda s: s["edge"])
+    consistent = (
+        (F.size(F.array_distinct(slots["slots"])) == F.size(slots))
+        & (F.size(F.array_distinct(slots["values"])) == F.size(slots))
+        & F.forall(ends, lambda e: F.forall(slots, lambda s: fits(e, s)))
+    )
+    # Windows between two that overlap or touch are found with them, and count.
+    steps = F.transform(
+        F.arrays_zip(F.slice(places, 2, F.size("places")).alias("z"), F.slice(places, 1, F.size("places") - 1).alias("a")),
+        lambda s: F.when(s["z"] - s["a"] <= F.col("length"), s["z"] - s["a"]).otherwise(1),
+    )
+    n_found = F.lit(1) + F.aggregate(steps, F.lit(0), lambda x, y: x + y)
+    need = F.least(F.col("of"), F.greatest(F.lit(1), F.lit(span + 1) - F.col("length")))
     aligned = (
-        pairs.groupBy("doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift"))
+        pairs.withColumn("compared", zipped)
+        .withColumn("view", F.explode(views))
+        .groupBy("doc_id", "item_id", "form", "view")
         .agg(
             F.collect_set("place").alias("places"),
-            F.collect_set(F.when(F.col("slots") == F.col("values"), F.col("place"))).alias("same"),
-            F.min("at").alias("at"),
+            F.min("word").alias("at"),
             F.max("of").alias("of"),
             F.max("length").alias("length"),
-            F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("slots", "values")))).alias("slots"),
+            F.array_distinct(F.flatten(F.collect_set("plain"))).alias("plain"),
+            F.array_distinct(F.flatten(F.collect_set("compared"))).alias("slots"),
+        )
+        .withColumn("n", F.when(F.col("view.kind") == 1, n_found).otherwise(F.size("places")))
+        # A span with the item's own words is a leak whatever happened to the rest.
+        .withColumn("exact", F.col("form") == _WORDS)
+        .where(
+            (F.col("n") >= need)
+            & (F.col("exact") | consistent & (F.size("plain") >= F.least(F.lit(LITERALS), F.col("length"))))
         )
-        # A span with the item's own values is a leak whatever happened to the rest.
-        .withColumn("exact", F.size("same") >= need)
-        .where(F.col("exact") | consistent & (F.size("places") >= need))
     )
     return aligned.groupBy("doc_id", "item_id").agg(
-        F.max(F.size("places")).cast("long").alias("n_windows"),
+        F.max("n").cast("long").alias("n_windows"),
         F.min("at").cast("long").alias("place"),
         F.max("exact").alias("exact"),
     )

@@ -129,6 +129,7 @@ class Canon:
         return [
             Form(_WORDS, exact[word], none, word, order, tokens, label, capital),
             Form(_INNER, inner[word], (name | unit | number)[word], word, order, tokens, label, None),
+            Form(_RUNS, runs[folded], (capital | unit | number)[folded], folded, order, tokens, label, capital),
         ]
 
 

@@ -5,6 +5,8 @@ import pytest
 from sojourn.llm import decontaminate
 
 DENSE = "Anna bought {} kg apples and {} kg pears for {} dollars"
+STARTS = "{0} has {1} apples. {0} buys {2} apples. How many apples does {0} have?"
+LONGER = "If {0} has {1} apples and then gives {2} apples to {3}, how many apples are left with {0}?"
 NUMBERS = "1 2 3 5 8 13 21 34 55 89 144 233 377 610"
 
 
@@ -18,6 +20,9 @@ def found(spark, item, text):
     "item, text",
     [
         (DENSE.format(3, 5, 20), DENSE.format(4, 6, 30)),
+        (STARTS.format("Tom", 3, 5), STARTS.format("Sam", 4, 9)),
+        (STARTS.format("Tom", 3, 5), "Question: " + STARTS.format("Sam", 4, 9) + " Answer: 13"),
+        (LONGER.format("Tom", 3, 2, "Ben"), LONGER.format("Mary Ann", 4, 1, "Lee Roy")),
     ],
 )
 def test_changed(spark, item, text):
@@ -29,6 +34,7 @@ def test_changed(spark, item, text):
     [
         (NUMBERS, "so " + NUMBERS + " then", [(1, 2, True)]),
         (NUMBERS, "so " + NUMBERS.replace("8", "7") + " then", []),
+        (STARTS.format("Tom", 3, 5), STARTS.format("Sam", 4, 9).replace("Sam", "Bob", 1), []),
         (DENSE.format(3, 5, 20), "Then 4 kg of 6 kg went for 30 dollars and Carl got 4 kg pears and 6 kg more", []),
     ],
 )

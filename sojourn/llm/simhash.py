@@ -12,7 +12,6 @@ spanning edges, so its output stays linear while every link takes part in the co
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sojourn.llm.common import BLOCK, batch, forest, in_blocks, stored, whole_runs, words
+from sojourn.llm.common import BLOCK, batch, forest, forget, in_blocks, stored, whole_runs, words
 from sojourn.operators.graph import connected_components
 
 SEED = 42
@@ -30,22 +29,7 @@ MAX_BITS = 3
 #: Runs up to this length are compared row by row in numpy; longer ones give spanning edges.
 SHORT_RUN = 32
 
-#: Near copies, the pipeline's rule: shingles of so many words, and this Jaccard similarity or more.
-COPY_SHINGLE = 5
-SIMILARITY = 0.8
-#: Share of 128 bits that candidates may differ in: 0.15 is expected at the similarity, 0.5 of strangers.
-COPY_BITS = 34
-#: Chance that a pair right at the similarity meets in some grid, and texts of a cell on average.
-RECALL = 0.99
-PER_CELL = 48
-#: Texts of one block of a crowded group of candidates; their shingles are in memory.
-COPY_BLOCK = 256
-
-_FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("row", pa.int64())])
-_WIDE = pa.schema(
-    [("doc_id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())]
-)
-_SETS = pa.schema([("grp", pa.int64()), ("node", pa.int64()), ("deal", pa.int64()), ("shingles", pa.binary())])
+_FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("row", pa.string())])
 _EDGE = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
 
@@ -87,9 +71,9 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ro
             )
             yield batch(_FP, [b.column("doc_id"), fps.view(np.int64), b.column("row")])
 
-    kept = F.col(row).cast("long") if row else F.lit(None).cast("long")
+    kept = F.col(row).cast("string") if row else F.lit(None).cast("string")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), kept.alias("row"))
-    return rows.mapInArrow(run, "doc_id long, fp long, row long")
+    return rows.mapInArrow(run, "doc_id long, fp long, row string")
 
 
 def _cells(fps: DataFrame) -> DataFrame:
@@ -172,7 +156,7 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, fp, row, root, component_id), one row per row of ``docs``.
 
-    ``root`` is a fingerprint that stands for the component, ``row`` a column of longs to pass through.
+    ``root`` is a fingerprint that stands for the component, ``row`` a column to pass through as a string.
 
     Fingerprints that differ in three bits at most are linked; component_id is the smallest doc_id
     that links reach. Null and blank texts have fingerprint zero and link like any other. Repeated
@@ -195,198 +179,11 @@ def near_duplicates(
         ),
         "simhash-classes",
     )
+    for table in (firsts, edges, members):
+        forget(table)
     return base.join(classes, "fp").select("doc_id", "fp", "row", "root", "component_id")
 
 
-def shingles(text: str | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
-    """The set of word shingles as sorted XXH3 hashes of 128 bits, two longs a row; no words, no rows.
-
-    Words are lower-cased A-Z; fewer words than a shingle are one shingle.
-    """
-    tokens = words(text.encode().lower() if text else None)
-    if not tokens:
-        return np.zeros((0, 2), np.uint64)
-    joined = b" ".join(tokens)
-    sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) + 1
-    ends = np.cumsum(sizes) - 1
-    starts = (ends - sizes + 1)[: max(1, len(tokens) - shingle + 1)].tolist()
-    stops = ends[min(shingle, len(tokens)) - 1 :].tolist()
-    found = {xxhash.xxh3_128_digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)}
-    return np.frombuffer(b"".join(sorted(found)), dtype="<u8").reshape(-1, 2)
-
-
-def _wide(hashes: np.ndarray) -> tuple[int | None, int | None]:
-    """SimHash of 128 bits over a set of shingles; the first shingle breaks ties.
-
-    Nulls for fewer than four shingles: another set has less than four fifths in common with them.
-    """
-    if len(hashes) < 4:
-        return None, None
-    ones = np.zeros(128, dtype=np.int64)
-    for at in range(0, len(hashes), 65536):
-        part = hashes[at : at + 65536].view(np.uint8).reshape(-1, 16)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    first = np.unpackbits(hashes[:1].view(np.uint8), bitorder="little")
-    lo, hi = np.packbits(ones * 2 + first > len(hashes), bitorder="little").view("<i8").tolist()
-    return lo, hi
-
-
-def wide_fingerprints(docs: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:
-    """(doc_id, row, node, lo, hi): node stands for the set of shingles, lo and hi are its SimHash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            node, lo, hi = [], [], []
-            for t in b.column("text"):
-                h = shingles(t.as_py())
-                x, y = _wide(h)
-                node.append(xxhash.xxh3_64_intdigest(h.tobytes(), SEED) - (1 << 63))
-                lo.append(x)
-                hi.append(y)
-            yield batch(_WIDE, [b.column("doc_id"), b.column("row"), node, lo, hi])
-
-    rows = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.col(row).cast("long").alias("row"), F.col(text).alias("text")
-    )
-    return rows.mapInArrow(run, "doc_id long, row long, node long, lo long, hi long")
-
-
-def grids(n: int) -> list[list[int]]:
-    """The bits of every grid: about PER_CELL of n texts a cell, enough grids for the recall."""
-    bits = min(40, max(6, math.ceil(math.log2(max(1, n) / PER_CELL))))
-    cosine = 2 * SIMILARITY / (1 + SIMILARITY)
-    meet = (1 - math.acos(cosine) / math.pi) ** bits
-    rng = np.random.default_rng(SEED)
-    many = math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
-    return [rng.choice(128, bits, replace=False).tolist() for _ in range(many)]
-
-
-def _grid_cells(lo: np.ndarray, hi: np.ndarray, every: list[list[int]]) -> np.ndarray:
-    out = np.zeros((len(lo), len(every)), np.int64)
-    bit = [(lo if b < 64 else hi) >> (b % 64) & 1 for b in range(128)]
-    for g, bits in enumerate(every):
-        for b in bits:
-            out[:, g] = out[:, g] << 1 | bit[b]
-        out[:, g] |= g << 40
-    return out
-
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning edges of the fingerprints of a cell that differ in few bits."""
-    for table, starts in whole_runs(batches, ["key", "slot"]):
-        lo, hi, node = (table.column(c).to_numpy() for c in ("lo", "hi", "node"))
-        lo, hi = lo.view(np.uint64), hi.view(np.uint64)
-        src, dst = [], []
-        for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(lo)], strict=True):
-            if z - a < 2:
-                continue
-            x, y = lo[a:z], hi[a:z]
-            some = np.arange(z - a)
-            if z - a <= 1024:  # most cells have no pair at all
-                far = np.bitwise_count(x[:, None] ^ x) + np.bitwise_count(y[:, None] ^ y)
-                near = far <= COPY_BITS
-                some = np.flatnonzero(near.sum(axis=1) > 1)
-
-            def linked(i: int, others: np.ndarray, x=x, y=y, some=some) -> np.ndarray:
-                i, others = some[i], some[others]
-                return np.bitwise_count(x[others] ^ x[i]) + np.bitwise_count(y[others] ^ y[i]) <= COPY_BITS
-
-            for i, found in forest(len(some), linked):
-                src.append(np.full(len(found), node[a + some[i]]))
-                dst.append(node[a + some[found]])
-        if src:
-            yield batch(_EDGE, [np.concatenate(src), np.concatenate(dst)])
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        found = [shingles(t.as_py()).tobytes() for t in b.column("text")]
-        yield batch(_SETS, [b.column("grp"), b.column("node"), b.column("deal"), found])
-
-
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning edges of the texts of a group whose shingle sets have the Jaccard similarity."""
-    for table, starts in whole_runs(batches, ["grp", "slot"]):
-        node = table.column("node").to_numpy()
-        column = table.column("shingles")
-        src, dst = [], []
-        for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(node)], strict=True):
-            raw = [column[i].as_py() for i in range(a, z)]
-            sizes = np.array([len(r) // 16 for r in raw])
-            if z - a < 2 or not sizes.all():
-                continue  # a text without words has no near copy
-            every, ids = np.unique(np.frombuffer(b"".join(raw), dtype="V16"), return_inverse=True)
-            at = np.concatenate([[0], np.cumsum(sizes)])
-
-            def linked(i: int, others: np.ndarray, n=len(every), ids=ids, at=at, sizes=sizes) -> np.ndarray:
-                mark = np.zeros(n, np.int64)
-                mark[ids[at[i] : at[i + 1]]] = 1
-                both = np.add.reduceat(mark[ids], at[:-1])[others]
-                # Compared in whole numbers: a similarity of exactly 0.8 counts.
-                return both * 10 >= (sizes[others] + sizes[i] - both) * round(10 * SIMILARITY)
-
-            for i, found in forest(z - a, linked):
-                src.append(np.full(len(found), node[a + i]))
-                dst.append(node[a + found])
-        if src:
-            yield batch(_EDGE, [np.concatenate(src), np.concatenate(dst)])
-
-
-def _blocked(rows: DataFrame, key: str, block: int) -> DataFrame:
-    """The rows in runs of (key, slot), crowded keys in pairs of blocks."""
-    crowded = (
-        rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-        .select(key, F.ceil(F.col("n") / block).cast("long").alias("blocks"))
-    )
-    slot = """CASE WHEN blocks IS NULL THEN array(0L) ELSE transform(sequence(0L, blocks - 1),
-        j -> 1 + least(j, b) * blocks + greatest(j, b)) END"""
-    dealt = rows.join(crowded, key, "left").withColumn("b", F.pmod("deal", "blocks"))
-    spread = dealt.withColumn("slot", F.explode(F.expr(slot))).drop("b", "blocks", "deal")
-    return spread.repartition(key, "slot").sortWithinPartitions(key, "slot")
-
-
-def near_copies(docs: DataFrame, row: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, row, root), one row per row of ``docs``; rows of one root are copies or near copies.
-
-    Near copies share 0.8 of their five-word shingles or more (Jaccard similarity of the sets), or are
-    linked by such texts. Texts of equal shingle sets, those without words too, have one root.
-    Candidates are SimHash fingerprints of 128 bits that differ in COPY_BITS at most and meet in one
-    of the grids; groups that candidates link are then compared by their whole shingle sets.
-    ``row`` must number the rows.
-    """
-    base = stored(wide_fingerprints(docs, doc_id, text, row), "copies")
-    nodes = stored(base.groupBy("node").agg(*(F.min(c).alias(c) for c in ("lo", "hi", "row"))), "copies-nodes")
-    wide = nodes.where(F.col("lo").isNotNull())
-    every = grids(wide.count())
-
-    @F.arrow_udf("array<bigint>")
-    def cells(lo: pa.Array, hi: pa.Array) -> pa.Array:
-        found = _grid_cells(lo.to_numpy(), hi.to_numpy(), every)
-        offsets = pa.array(np.arange(len(lo) + 1, dtype=np.int32) * len(every))
-        return pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))
-
-    dealt = wide.select("node", "lo", "hi", F.xxhash64("node").alias("deal"), F.explode(cells("lo", "hi")).alias("key"))
-    loose = stored(
-        _blocked(dealt, "key", BLOCK).mapInArrow(_candidates, "src long, dst long").distinct(), "copies-candidates"
-    )
-    ends = loose.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    groups = connected_components(ends, loose).select("node", F.col("component").alias("grp"))
-    picked = stored(groups.join(nodes.select("node", "row"), "node"), "copies-groups")
-    texts = docs.select(F.col(row).cast("long").alias("row"), F.col(text).alias("text"))
-    sets = stored(
-        texts.join(picked, "row")
-        .select("grp", "node", F.xxhash64("node").alias("deal"), "text")
-        .mapInArrow(_sets, "grp long, node long, deal long, shingles binary"),
-        "copies-shingles",
-    )
-    edges = stored(
-        _blocked(sets, "grp", COPY_BLOCK).mapInArrow(_similar, "src long, dst long").distinct(), "copies-links"
-    )
-    linked = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    roots = stored(connected_components(linked, edges), "copies-roots")
-    return base.join(roots, "node", "left").select("doc_id", "row", F.coalesce("component", "node").alias("root"))
-
-
 def hexadecimal(fp: str = "fp"):
     """The fingerprint as 16 lower-case hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -7,11 +7,12 @@ result as Parquet to the shared folder and reads it back. All but the last keep
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sojourn.llm import decontaminate, packing, passages, quality, simhash
-from sojourn.llm.common import load, small_batches, stored
+from sojourn.llm.common import forget, load, small_batches, stored
 from sojourn.session import ship
 
 _ROW = "__row"
@@ -27,6 +28,17 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return stored(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """Rows with a key: file and row of Parquet files, which no later scan changes; else stored numbers."""
+    try:
+        place = docs.metadataColumn("_metadata")
+        keyed = docs.withColumn(_ROW, F.concat_ws(":", place.row_index.cast("string"), place.file_path))
+        keyed.schema  # raises where the rows do not come straight from Parquet files  # noqa: B018
+    except AnalysisException:
+        return _numbered(docs)
+    return keyed
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier (op 5) accepts; learnt from all labels."""
     _prepare(spark)
@@ -36,17 +48,21 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the smallest doc_id, rows without one last.
+    """One document of each group that SimHash links (op 2, three words and three bits).
 
-    Near copies have 0.8 or more of their five-word shingles in common; op 2's contract of three words
-    and three bits binds its own query only.
+    The smallest doc_id stays, rows without one last; of rows that share it the first in their file.
+    Null and blank texts have fingerprint zero and are one group. An empty table stays empty.
     """
     _prepare(spark)
-    rows = _numbered(docs)
-    found = simhash.near_copies(rows, row=_ROW)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    kept = stored(found.groupBy("root").agg(first.alias("f")).select(F.col("f.row").alias(_ROW)), "kept")
-    return rows.join(kept, _ROW, "left_semi").drop(_ROW)
+    rows = _placed(docs)
+    found = simhash.near_duplicates(rows, row=_ROW)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("o")
+    linked = stored(found.select("root", order), "near-copies")
+    first = linked.groupBy("root").agg(F.min("o").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    extra = linked.join(first, "root").where(F.col("o.row") != F.col("first.row"))
+    gone = stored(extra.select(F.col("o.row").alias(_ROW)), "near-copies-gone")
+    forget(linked)
+    return rows.join(gone, rows[_ROW].cast("string") == gone[_ROW], "left_anti").drop(_ROW)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sojourn.llm import decontaminate, language, packing, passages, quality, simhash, tokens, urls, vectors, warc
+from sojourn.llm import decontaminate, language, packing, passages, quality, simhash, tokens, tries, urls, vectors, warc
 from sojourn.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,51 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
+
+
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.trie(tries.rebuilt(load(spark, sf_dir, "conversations")))
+
+
+#: CRC-32 of the decimal digits of c, bit by bit; the polynomial is a fixed value.
+_CRC32 = """xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), x -> ascii(x)::BIGINT)),
+    (a, x) -> list_reduce(
+        list_prepend(xor(a, x), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+        (b, y) -> xor(b >> 1, (b & 1) * 3988292384))), 4294967295)"""
+
+ORACLES["op11_conversation_trie"] = f"""
+WITH own AS (
+    SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(coalesce(text, ''))) AS t,
+        coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (SELECT c, {_CRC32} % 6 AS h FROM (SELECT DISTINCT c FROM own)),
+rebuilt AS (
+    SELECT heads.c, own.t, own.role, own.text FROM heads JOIN own ON own.c = heads.c - heads.c % 100 AND own.t <= heads.h
+    UNION ALL SELECT heads.c, own.t, own.role, own.text FROM heads JOIN own ON own.c = heads.c AND own.t > heads.h),
+numbered AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY t) AS d, role, text FROM rebuilt),
+chained AS (
+    SELECT c, d, length(text) AS chars,
+        md5(string_agg(md5(length(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY d)) AS name
+    FROM numbered),
+paths AS (SELECT c, d, chars, name FROM chained UNION ALL SELECT c, 0, 0, '' FROM heads),
+nodes AS (SELECT name, d, min(c) AS c, count(*) AS n, any_value(chars) AS chars FROM paths GROUP BY name, d),
+sizes AS (SELECT c, max(d) AS d FROM paths GROUP BY c),
+ends AS (
+    SELECT paths.name, string_agg(sizes.c::VARCHAR, ',' ORDER BY sizes.c) AS ids
+    FROM sizes JOIN paths ON paths.c = sizes.c AND paths.d = sizes.d GROUP BY paths.name),
+parents AS (
+    SELECT nodes.name, up.name AS parent FROM nodes JOIN paths up ON up.c = nodes.c AND up.d = nodes.d - 1),
+children AS (SELECT parent AS name, count(*) AS n FROM parents GROUP BY parent),
+sums AS (
+    SELECT up.name, sum((nodes.n - 1) * nodes.chars) AS saved, count(*) FILTER (children.n IS NULL) AS leaves
+    FROM nodes JOIN paths up ON up.c = nodes.c AND up.d <= nodes.d LEFT JOIN children ON children.name = nodes.name
+    GROUP BY up.name)
+SELECT nodes.c AS conv_id, nodes.d::BIGINT AS depth, p.c AS parent_conv_id, nodes.n AS n_convs,
+    coalesce(children.n, 0) AS n_children, sums.leaves AS n_leaves, sums.saved::BIGINT AS saved_tokens,
+    sha256(coalesce(ends.ids, '')) AS ends_sha256
+FROM nodes JOIN sums ON sums.name = nodes.name LEFT JOIN parents ON parents.name = nodes.name
+    LEFT JOIN nodes p ON p.name = parents.parent LEFT JOIN children ON children.name = nodes.name
+    LEFT JOIN ends ON ends.name = nodes.name
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sojourn.llm import decontaminate, language, packing, passages, quality, simhash, tokens, tries, urls, vectors, warc
+from sojourn.llm import decontaminate, language, negatives, packing, passages, quality, simhash, tokens, tries, urls, vectors, warc
 from sojourn.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,10 +100,10 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: CRC-32 of the decimal digits of c, bit by bit; the polynomial is a fixed value.
 _CRC32 = """xor(list_reduce(
-    list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), x -> ascii(x)::BIGINT)),
-    (a, x) -> list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, x: list_reduce(
         list_prepend(xor(a, x), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
-        (b, y) -> xor(b >> 1, (b & 1) * 3988292384))), 4294967295)"""
+        lambda b, y: xor(b >> 1, (b & 1) * 3988292384))), 4294967295)"""
 
 ORACLES["op11_conversation_trie"] = f"""
 WITH own AS (
@@ -139,3 +139,29 @@ FROM nodes JOIN sums ON sums.name = nodes.name LEFT JOIN parents ON parents.name
     LEFT JOIN nodes p ON p.name = parents.parent LEFT JOIN children ON children.name = nodes.name
     LEFT JOIN ends ON ends.name = nodes.name
 """
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(load(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op12_hard_negatives"] = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, vec_id AS negative_id, p.positive_score, score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT same
+    AND 50 * p.positive_score <= 100 * score AND 100 * score <= 95 * p.positive_score
+QUALIFY rank <= 3
+"""

@@ -14,7 +14,9 @@ may be cut between ids, never between the parts of a text.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -123,9 +125,51 @@ def _cut(size: int, overlap: int):
     return run
 
 
+#: Kinds of characters that a pattern may name, and one character of each that no pattern spells out.
+_KINDS = ((r"\p{L}", "b"), (r"\p{N}", "1"), (r"\s", "\t"))
+_OTHER = "!"
+
+
+@functools.lru_cache(1)
+def _odd() -> tuple[re.Pattern | None, dict[int, str]]:
+    """Characters that the two libraries take for different kinds, and what stands for them in a split.
+
+    Their tables of Unicode are not of one age; ids must be those of the tokenizer's library.
+    """
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    ours, theirs = np.zeros(0x110000, np.int8), np.zeros(0x110000, np.int8)
+    single = {bytes([b]): b for b in range(256)}
+    for k, (kind, _) in enumerate(_KINDS, 1):
+        other = tiktoken.Encoding("kind", pat_str=kind, mergeable_ranks=single, special_tokens={})
+        for table, chars in ((ours, "".join(regex.findall(kind, every))), (theirs, bytes(other.encode_ordinary(every)).decode())):
+            table[np.frombuffer(chars.encode("utf-32-le"), "<u4")] = k
+    codes = np.flatnonzero(ours != theirs)
+    if not codes.size:
+        return None, {}
+    marks = [_OTHER, *(mark for _, mark in _KINDS)]
+    first = np.flatnonzero(np.diff(codes, prepend=-2) > 1)
+    last = [*(first[1:] - 1).tolist(), len(codes) - 1]
+    ranges = "".join(f"\\U{codes[a]:08x}-\\U{codes[z]:08x}" for a, z in zip(first.tolist(), last, strict=True))
+    return re.compile(f"[{ranges}]"), {int(c): marks[theirs[c]] for c in codes}
+
+
+def _plain(text: str) -> str:
+    """The text as it is split: of the same length, with characters of one kind in both libraries."""
+    odd, marks = (None, {}) if text.isascii() else _odd()
+    return text.translate(marks) if odd and odd.search(text) else text
+
+
 def places(pattern: str, text: str) -> np.ndarray:
     """Where the pre-tokens of a text end, in order."""
-    return np.fromiter((m.end() for m in regex.compile(pattern).finditer(text)), np.int32)
+    return np.fromiter((m.end() for m in regex.compile(pattern).finditer(_plain(text))), np.int32)
+
+
+def split(pattern: str, text: str) -> list[str]:
+    """The pre-tokens of a text."""
+    plain = _plain(text)
+    if plain is text:
+        return regex.compile(pattern).findall(text)
+    return [text[m.start() : m.end()] for m in regex.compile(pattern).finditer(plain)]
 
 
 def _zone(pattern: str, size: int, overlap: int):
@@ -152,13 +196,13 @@ def _encode_parts(path: str, pattern: str, size: int) -> Callable:
     """Ids of the pre-tokens of a chunk from its stitch to the next one's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, split = Encoder(path), regex.compile(pattern)
+        encoder = Encoder(path)
         for b in batches:
             ids = []
             for text, start, stop in zip(*(b.column(c).to_pylist() for c in ("chunk", "start", "stop")), strict=True):
                 # From a stitch on the split is the same, whatever came before.
                 part = text[start or 0 :] if stop is None else text[start or 0 : size + stop + LOOK]
-                pieces = split.findall(part)
+                pieces = split(pattern, part)
                 if stop is not None:
                     room, n = size + stop - (start or 0), 0
                     for n, p in enumerate(pieces, 1):  # noqa: B007
@@ -254,19 +298,19 @@ def decoded(parts: DataFrame, ranks: str | None = None, ids: str = "ids", into:
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of every text from its parts in order; no text is held whole."""
-    at, doc, n, ids_sha, bytes_sha = None, None, 0, None, None
+    doc, n, ids_sha, bytes_sha = None, 0, None, None
 
     def row() -> tuple:
         return doc, n, ids_sha.hexdigest(), bytes_sha.hexdigest()
 
     for b in batches:
         done = []
-        columns = [b.column(c) for c in ("doc_id", "text_row", "ids", "decoded")]
-        for doc_id, key, ids, raw in zip(*(c.to_pylist() for c in columns), strict=True):
-            if key != at:
-                if at is not None:
+        columns = [b.column(c) for c in ("doc_id", "part", "ids", "decoded")]
+        for doc_id, part, ids, raw in zip(*(c.to_pylist() for c in columns), strict=True):
+            if part == 0:
+                if ids_sha:
                     done.append(row())
-                at, doc, n, ids_sha, bytes_sha = key, doc_id, 0, hashlib.sha256(), hashlib.sha256()
+                doc, n, ids_sha, bytes_sha = doc_id, 0, hashlib.sha256(), hashlib.sha256()
             every = np.frombuffer(ids, "<u4").tolist()
             if every:
                 ids_sha.update((" " if n else "").encode() + " ".join(map(str, every)).encode())
@@ -274,7 +318,7 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bytes_sha.update(raw)
         if done:
             yield batch(_DIGEST, list(zip(*done, strict=True)))
-    if at is not None:
+    if ids_sha:
         yield batch(_DIGEST, [[v] for v in row()])
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sojourn.llm import decontaminate, language, negatives, packing, passages, quality, simhash, tokens, tries, urls, vectors, warc
+from sojourn.llm import bytepairs, decontaminate, language, negatives, packing, passages, quality, simhash, tokens, tries, urls, vectors, warc
 from sojourn.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,8 @@ FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT same
     AND 50 * p.positive_score <= 100 * score AND 100 * score <= 95 * p.positive_score
 QUALIFY rank <= 3
 """
+
+
+@query
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytepairs.digests(bytepairs.decoded(bytepairs.encoded(load(spark, sf_dir, "documents"))))

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from sojourn.llm.common import batch, stored
 
 #: Code points of a chunk without its overlap, and of the overlap.
-CHUNK = 16_384
-OVERLAP = 512
+CHUNK = 65_536
+OVERLAP = 1024
 #: How far the pattern may look beyond the end of a pre-token.
 LOOK = 8
 #: Pre-tokens whose ids a task keeps, and the longest that it keeps.
@@ -60,40 +60,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(i) for token, i in map(bytes.split, lines)}
 
 
-class Encoder:
-    """Ids of pre-tokens. Frequent ones are kept in two tables of bounded size, newer and older."""
+class Encoder(dict):
+    """Ids of pre-tokens, four bytes each. Short pre-tokens are kept until KEPT of them are known."""
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         # Every pre-token is one match: the splitting is done outside.
         self.merges = tiktoken.Encoding(
             "pieces", pat_str=r"(?s:.+)", mergeable_ranks=read_ranks(path), special_tokens={}
         )
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
 
-    def _new(self, piece: str) -> bytes:
+    def __missing__(self, piece: str) -> bytes:
         ids = np.array(self.merges.encode_ordinary(piece), dtype="<u4").tobytes()
         if len(piece) <= LONGEST_KEPT:
-            if len(self.known) >= KEPT:
-                self.known, self.older = {}, self.known
-            self.known[piece] = ids
+            if len(self) >= KEPT:
+                self.clear()
+            self[piece] = ids
         return ids
 
     def encode(self, pieces: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            out = []
-            for p in pieces:
-                ids = self.known.get(p)
-                if ids is None:
-                    ids = self.older.get(p)
-                    if ids is None:
-                        ids = self._new(p)
-                    elif len(self.known) < KEPT:
-                        self.known[p] = ids
-                out.append(ids)
-            return b"".join(out)
+        return b"".join(map(self.__getitem__, pieces))
 
 
 class Decoder:
@@ -203,13 +189,9 @@ def _encode_parts(path: str, pattern: str, size: int) -> Callable:
                 # From a stitch on the split is the same, whatever came before.
                 part = text[start or 0 :] if stop is None else text[start or 0 : size + stop + LOOK]
                 pieces = split(pattern, part)
-                if stop is not None:
-                    room, n = size + stop - (start or 0), 0
-                    for n, p in enumerate(pieces, 1):  # noqa: B007
-                        room -= len(p)
-                        if room <= 0:
-                            break
-                    pieces = pieces[:n]
+                beyond = 0 if stop is None else len(part) - (size + stop - (start or 0))
+                while beyond > 0:
+                    beyond -= len(pieces.pop())
                 ids.append(encoder.encode(pieces))
             yield batch(_PART, [*(b.column(c) for c in ("doc_id", "text_row", "part", "parts")), ids])
 
@@ -296,6 +278,14 @@ def decoded(parts: DataFrame, ranks: str | None = None, ids: str = "ids", into:
     return parts.withColumn(into, run(ids))
 
 
+class _Decimal(dict):
+    """Decimal digits of ids, as many as a vocabulary has."""
+
+    def __missing__(self, i: int) -> str:
+        self[i] = str(i)
+        return self[i]
+
+
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of every text from its parts in order; no text is held whole."""
     doc, n, ids_sha, bytes_sha = None, 0, None, None
@@ -303,6 +293,7 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def row() -> tuple:
         return doc, n, ids_sha.hexdigest(), bytes_sha.hexdigest()
 
+    decimal = _Decimal()
     for b in batches:
         done = []
         columns = [b.column(c) for c in ("doc_id", "part", "ids", "decoded")]
@@ -313,7 +304,7 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 doc, n, ids_sha, bytes_sha = doc_id, 0, hashlib.sha256(), hashlib.sha256()
             every = np.frombuffer(ids, "<u4").tolist()
             if every:
-                ids_sha.update((" " if n else "").encode() + " ".join(map(str, every)).encode())
+                ids_sha.update((" " if n else "").encode() + " ".join(map(decimal.__getitem__, every)).encode())
             n += len(every)
             bytes_sha.update(raw)
         if done:

@@ -198,36 +198,38 @@ def _encode_parts(path: str, pattern: str, size: int) -> Callable:
     return run
 
 
-def encoded(
-    docs: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    ranks: str | None = None,
-    pattern: str = public_tokenizers.PATTERN,
-    size: int = CHUNK,
-    overlap: int = OVERLAP,
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
+    ).withColumn("text_row", F.monotonically_increasing_id())
+
+
+def _whole() -> tuple:
+    return F.lit(0).cast("long").alias("part"), F.lit(1).cast("long").alias("parts")
+
+
+def encoded_short(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: str | None = None,
+    pattern: str = public_tokenizers.PATTERN, size: int = CHUNK,
 ) -> DataFrame:
-    """(doc_id, text_row, part, parts, ids): the ids of every text, in parts of one row each.
+    """Those rows of ``encoded`` that come from texts of one chunk; each has a single part."""
+    none = F.lit(None).cast("int")
+    rows = _texts(docs, doc_id, text).where(F.char_length("text") <= size)
+    return rows.select(
+        "doc_id", "text_row", *_whole(), F.col("text").alias("chunk"), none.alias("start"), none.alias("stop")
+    ).mapInArrow(_encode_parts(ranks or default_ranks(), pattern, size), _PART_SQL)
 
-    ``ids`` holds four bytes an id, lowest first; the parts of a text (one ``text_row``) in order are
-    the ids of the whole text, as the vocabulary gives them for each match of ``pattern``, without
-    special tokens. A null text is empty, and an empty text is one part without ids. Repeated rows,
-    and rows that share a doc_id or have none, stay apart. An empty table gives no rows. Other
-    columns are not looked at.
-    """
+
+def encoded_long(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: str | None = None,
+    pattern: str = public_tokenizers.PATTERN, size: int = CHUNK, overlap: int = OVERLAP,
+) -> DataFrame:
+    """Those rows of ``encoded`` that come from texts of several chunks."""
     if not 2 * LOOK <= overlap < size:
         raise ValueError("the overlap must be shorter than a chunk and longer than the pattern looks ahead")
-    path = ranks or default_ranks()
-    rows = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
-    ).withColumn("text_row", F.monotonically_increasing_id())
-    fits = F.char_length("text") <= size
     none = F.lit(None).cast("int")
-    whole = F.lit(0).cast("long").alias("part"), F.lit(1).cast("long").alias("parts")
-    short = rows.where(fits).select("doc_id", "text_row", *whole, F.col("text").alias("chunk"), none.alias("start"), none.alias("stop"))
-    cut = stored(
-        rows.where(~fits).mapInArrow(_cut(size, overlap), _CHUNK_SQL).repartition("text_row", "part"), "chunks"
-    )
+    rows = _texts(docs, doc_id, text).where(F.char_length("text") > size)
+    cut = stored(rows.mapInArrow(_cut(size, overlap), _CHUNK_SQL).repartition("text_row", "part"), "chunks")
     zones = stored(
         cut.select("text_row", "part", _zone(pattern, size, overlap)("chunk").alias("zone")).select(
             "text_row", "part", "zone.*"
@@ -250,14 +252,30 @@ def encoded(
         joined.where(~F.col("meets"))
         .groupBy("text_row")
         .agg(F.first("doc_id").alias("doc_id"), F.array_join(F.transform(pieces, lambda p: p["chunk"]), "").alias("chunk"))
-        .select("doc_id", "text_row", *whole, "chunk", none.alias("start"), none.alias("stop"))
+        .select("doc_id", "text_row", *_whole(), "chunk", none.alias("start"), none.alias("stop"))
     )
-    run = _encode_parts(path, pattern, size)
-    # The short texts stay where they are; only long ones are dealt out.
-    return (
-        short.mapInArrow(run, _PART_SQL)
-        .unionByName(long.mapInArrow(run, _PART_SQL))
-        .unionByName(apart.mapInArrow(run, _PART_SQL))
+    return long.unionByName(apart).mapInArrow(_encode_parts(ranks or default_ranks(), pattern, size), _PART_SQL)
+
+
+def encoded(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    ranks: str | None = None,
+    pattern: str = public_tokenizers.PATTERN,
+    size: int = CHUNK,
+    overlap: int = OVERLAP,
+) -> DataFrame:
+    """(doc_id, text_row, part, parts, ids): the ids of every text, in parts of one row each.
+
+    ``ids`` holds four bytes an id, lowest first; the parts of a text (one ``text_row``) in order are
+    the ids of the whole text, as the vocabulary gives them for each match of ``pattern``, without
+    special tokens. A null text is empty, and an empty text is one part without ids. Repeated rows,
+    and rows that share a doc_id or have none, stay apart. An empty table gives no rows. Other
+    columns are not looked at. Texts of one chunk stay in the tasks that read them.
+    """
+    return encoded_short(docs, doc_id, text, ranks, pattern, size).unionByName(
+        encoded_long(docs, doc_id, text, ranks, pattern, size, overlap)
     )
 
 
@@ -313,12 +331,11 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(_DIGEST, [[v] for v in row()])
 
 
-def digests(parts: DataFrame) -> DataFrame:
+def digests(parts: DataFrame, short: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text of ``decoded`` parts.
 
-    The hash of the ids is that of their decimal numbers, joined by one space. Texts of one part are
-    hashed where they are; the others are sorted by part first.
+    The hash of the ids is that of their decimal numbers, joined by one space. Parts are sorted first;
+    rows of ``encoded_short`` (``short``) are hashed where they are.
     """
-    alone = parts.where("parts = 1").mapInArrow(_digested, _DIGEST_SQL)
-    rest = parts.where("parts > 1").repartition("text_row").sortWithinPartitions("text_row", "part")
-    return alone.unionByName(rest.mapInArrow(_digested, _DIGEST_SQL))
+    rows = parts if short else parts.repartition("text_row", "parts").sortWithinPartitions("parts", "text_row", "part")
+    return rows.mapInArrow(_digested, _DIGEST_SQL)

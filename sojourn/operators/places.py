@@ -181,23 +181,35 @@ def label_medians(labelled_points: DataFrame, by: Sequence[str] = ("device_aid",
 
 
 # ---------------------------------------------------------------- shared places
+def _merge_kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table, starts in _device_slices(batches, "component"):
+        src, dst, weight = (table.column(c).to_numpy() for c in ("src", "dst", "weight"))
+        found = [
+            kernels.merged_modules(src[i:j], dst[i:j], weight[i:j])
+            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(src)], strict=True)
+        ]
+        nodes, modules = (np.concatenate(x) for x in zip(*found, strict=True))
+        yield pa.record_batch({"node": nodes, "module": modules})
+
+
 def cluster_points(
     points: DataFrame,
     r2: float = 30.0,
-    resolution: float = 1e-5,
+    resolution: float = 0.0,
     metric: str = "haversine",
     weighted: bool = False,
     exponent: float = 1.0,
     label_singleton: bool = True,
-    component_limit: int = 20_000,
+    task_edges: int = 1_000_000,
 ) -> DataFrame:
     """Cluster places of a whole population: points in, the same rows with ``loc`` out.
 
-    ``loc`` is the least node id of the community, or -1 for lone points when
-    ``label_singleton`` is off and for rows without coordinates. Components up to ``component_limit`` unique points are solved one
-    per group; larger ones run as distributed rounds over their edges, so no component has to fit
-    in a task. The default resolution bounds how many unique points can share a neighbourhood;
-    0 keeps raw coordinates.
+    ``loc`` is the least node id of the community, or -1 for lone points when ``label_singleton`` is
+    off and for rows without coordinates. A component in which all are neighbours is one community
+    (when weighted, up to two points). Others are split by the map equation, each on its own, by
+    rounds of mergers: in memory up to ``task_edges`` edges, as joins beyond. Both make the same
+    mergers, so the size of a component decides where it is solved and not what comes out.
+    A ``resolution`` (in degrees) bounds how many unique points can share a neighbourhood.
     """
     rows = snapped(points, resolution) if resolution > 0 else points
     exact = resolution if metric == "haversine" else 0.0
@@ -205,20 +217,23 @@ def cluster_points(
     nodes = cut(unique_points(points, (), resolution).withColumn("node", point_id(exact)))
     edges = cut(edge_weights(radius_neighbors(nodes, r2, (), metric), weighted, exponent))
     component = cut(graph.connected_components(nodes, edges))
-    size = component.groupBy("component").agg(F.count(F.lit(1)).alias("_size"))
-    sized = component.join(size, "component")
-    small = nodes.join(sized.where((F.col("_size") > 1) & (F.col("_size") <= component_limit)), "node")
-    p = StayParams(r2=r2, distance_metric=metric, weighted=weighted, weight_exponent=exponent)
-    solved = stop_locations(small.select("component", "node", *POINT, "n_events"), p, "component")
-    least = solved.groupBy("component", "loc").agg(F.min("node").alias("module"))
-    labels = solved.join(least, ["component", "loc"]).select("node", "module")
-    lone = component.join(size.where(F.col("_size") == 1), "component")
-    lone = lone.select("node", F.col("node").alias("module") if label_singleton else F.lit(-1).alias("module"))
-    labels = labels.unionByName(lone)
-    large = sized.where(F.col("_size") > component_limit)
+    inner = edges.join(component.select(F.col("node").alias("src"), "component"), "src")
+    inner = cut(inner.select("component", "src", "dst", "weight"))
+    sizes = component.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).join(
+        inner.groupBy("component").agg(F.count(F.lit(1)).alias("_m")), "component", "left"
+    )
+    whole = 2 * F.coalesce("_m", F.lit(0)) == F.col("_n") * (F.col("_n") - 1)
+    sizes = cut(sizes.withColumn("_whole", whole & (F.col("_n") <= 2) if weighted else whole))
+    lone = F.lit(label_singleton) | (F.col("_n") > 1)
+    labels = component.join(sizes.where("_whole"), "component").select(
+        "node", F.when(lone, F.col("component")).otherwise(F.lit(-1)).alias("module")
+    )
+    small = inner.join(sizes.where(~F.col("_whole") & (F.col("_m") <= task_edges)).select("component"), "component")
+    solved = kernel_shuffle(small, "component").sortWithinPartitions("component", "src", "dst")
+    labels = labels.unionByName(solved.mapInArrow(_merge_kernel, "node long, module long"))
+    large = sizes.where(~F.col("_whole") & (F.col("_m") > task_edges)).select("component")
     if not large.isEmpty():
-        inner = edges.join(large.select(F.col("node").alias("src")), "src")
-        labels = labels.unionByName(graph.map_equation_communities(inner.select("src", "dst", "weight")))
+        labels = labels.unionByName(graph.map_equation_communities(inner.join(large, "component")))
     labelled = rows.join(labels.select("node", F.col("module").alias("loc")), "node", "left")
     return labelled.withColumn("loc", F.coalesce("loc", F.lit(-1).cast("long"))).drop("node")
 
@@ -232,7 +247,7 @@ def shared_stop_locations(events: DataFrame, p: StayParams = StayParams(), **opt
         weighted=p.weighted,
         exponent=p.weight_exponent,
         label_singleton=p.label_singleton,
-        **options,
+        **({"resolution": p.resolution} | options),
     )
 
 

@@ -203,7 +203,7 @@ def _corner(rows: DataFrame) -> DataFrame:
     ),
 )
 def shared_stop_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = places.shared_stop_locations(_events(spark, sf_dir))
+    shared = places.shared_stop_locations(_events(spark, sf_dir), resolution=1e-5)
     return _corner(shared).select("device_aid", "event_start", *deg7("south", "west"))
 
 
@@ -217,7 +217,7 @@ def shared_stop_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cluster_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.pings(spark, sf_dir).select("seq", "latitude", "longitude")
-    return _corner(places.cluster_points(rows)).select("seq", *deg7("south", "west"))
+    return _corner(places.cluster_points(rows, resolution=1e-5)).select("seq", *deg7("south", "west"))
 
 
 # ---------------------------------------------------------------- reports

@@ -37,6 +37,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str = "rounds") -> DataFrame:
+    """The rows as a table in the shared folder, read back: ends the lineage, and unlike a checkpoint
+    carries no constraints on, which would grow from round to round of a loop."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def kernel_shuffle(df: DataFrame, *keys: str) -> DataFrame:
     """Hash partitioning for a kernel.
 

@@ -1,9 +1,12 @@
 import random
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
 from sojourn.functions import geo
+from sojourn.functions import kernels
 from sojourn.operators import graph, places, spatial
 from tests.reference_model import dist
 
@@ -119,17 +122,49 @@ def test_distributed_communities_equal_the_kernel_on_separate_cliques(spark):
             rows.append((len(rows), 55.0 + c * 0.01 + rng.randrange(9) * 1e-5, 13.0 + rng.randrange(9) * 1e-5))
     df = points(spark, rows)
     small = clusters(places.cluster_points(df, 30.0).collect())
-    large = clusters(places.cluster_points(df, 30.0, component_limit=1).collect())
+    large = clusters(places.cluster_points(df, 30.0, task_edges=0).collect())
     assert small == large and len(small) == 6
 
 
 def test_distributed_communities_split_two_groups_with_a_weak_bridge(spark):
     edges = [(a, b, 5.0) for block in (range(5), range(5, 10)) for a in block for b in block if a < b] + [(4, 5, 1.0)]
-    e = spark.createDataFrame(edges, "src bigint, dst bigint, weight double")
+    e = spark.createDataFrame([(0, *x) for x in edges], "component bigint, src bigint, dst bigint, weight double")
     got = {r.node: r.module for r in graph.map_equation_communities(e).collect()}
     assert len({got[i] for i in range(5)}) == 1 and len({got[i] for i in range(5, 10)}) == 1 and got[0] != got[9]
 
 
+def both_forms(spark, graphs):
+    """Modules of every graph (edges a < b, weight) in memory and by distributed rounds."""
+    apart = [(g, a + 1000 * g, b + 1000 * g, float(w)) for g, edges in enumerate(graphs) for a, b, w in edges]
+    memory = {}
+    for g in range(len(graphs)):
+        _, src, dst, w = zip(*[x for x in apart if x[0] == g], strict=True)
+        nodes, module = kernels.merged_modules(np.array(src), np.array(dst), np.array(w))
+        memory |= dict(zip(nodes.tolist(), module.tolist(), strict=True))
+    e = spark.createDataFrame(apart, "component bigint, src bigint, dst bigint, weight double")
+    rounds = {r.node: r.module for r in graph.map_equation_communities(e).collect()}
+    return memory, rounds
+
+
+def test_both_forms_of_communities_agree(spark):
+    rng = random.Random(12)
+    graphs = [[(i, i + 1, 1) for i in range(30)], [(i, i + d, 2) for i in range(20) for d in (1, 2, 3)]]
+    for _ in range(50):
+        size = rng.randrange(4, 14)
+        tree = {(rng.randrange(i), i) for i in range(1, size)}
+        more = {tuple(sorted(rng.sample(range(size), 2))) for _ in range(rng.randrange(2 * size))}
+        graphs.append([(a, b, rng.randrange(1, 9)) for a, b in sorted(tree | more)])
+    memory, rounds = both_forms(spark, graphs)
+    assert memory == rounds
+    assert 4 <= len({m for i, m in memory.items() if i < 1000}) <= 9  # a chain falls into short pieces
+
+
+def test_size_of_a_component_does_not_change_its_places(spark):
+    df = points(spark, [(i, 55.0 + i * 0.00018, 13.0) for i in range(16)])
+    small, large = (clusters(places.cluster_points(df, 30.0, task_edges=n).collect()) for n in (1_000_000, 0))
+    assert small == large and len(small) > 1
+
+
 def test_lone_points_may_stay_unlabelled(spark):
     df = points(spark, [(1, 10.0, 10.0), (2, 20.0, 10.0), (3, 20.0, 10.0001)])
     got = {r.id: r.loc for r in places.cluster_points(df, 30.0, label_singleton=False).collect()}

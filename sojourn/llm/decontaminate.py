@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sojourn.llm.common import batch, stored
 from sojourn.llm.passages import Hasher
@@ -52,22 +53,21 @@ _BITS = 24
 
 _WORDS, _INNER, _RUNS = range(3)
 
-_TEMPLATE = pa.schema(
-    [
-        ("id", pa.int64()),
-        ("form", pa.int32()),
-        ("length", pa.int32()),
-        ("hash", pa.int64()),
-        ("place", pa.int32()),
-        ("word", pa.int32()),
-        ("n_windows", pa.int32()),
-        ("plain", pa.list_(pa.int32())),
-        ("slots", pa.list_(pa.string())),
-    ]
-)
-_TEMPLATE_SQL = (
-    "id long, form int, length int, hash long, place int, word int, n_windows int, plain array<int>, slots array<string>"
+_WINDOW_FIELDS = [
+    ("form", pa.int32()),
+    ("length", pa.int32()),
+    ("hash", pa.int64()),
+    ("place", pa.int32()),
+    ("word", pa.int32()),
+    ("n_windows", pa.int32()),
+    ("plain", pa.list_(pa.int32())),
+    ("slots", pa.list_(pa.string())),
+]
+_WINDOW_SQL = (
+    "form int, length int, hash long, place int, word int, n_windows int, plain array<int>, slots array<string>"
 )
+#: Texts are turned into templates together, up to so many characters.
+_CHARS = 1 << 18
 
 
 class Canon:
@@ -100,9 +100,15 @@ class Canon:
             self.kinds[at] = self._kind(t)
             self.known[t] = at
 
-    def forms(self, text: str | None) -> list[Form]:
-        """The text in its three forms."""
-        tokens = _TOKEN.findall(text) if text else []
+    def forms(self, texts: list[str | None]) -> list[Form]:
+        """The texts, one after the other, in the three forms."""
+        tokens: list[str] = []
+        sizes = []
+        for t in texts:
+            found = _TOKEN.findall(t) if t else []
+            tokens += found
+            tokens.append("\n")  # a stop, so that nothing is seen beyond the text
+            sizes.append(len(found) + 1)
         found = list(map(self.known.get, tokens))
         if None in found:
             if len(self.known) > 150_000:
@@ -111,8 +117,8 @@ class Canon:
             found = list(map(self.known.__getitem__, tokens))
         at = np.array(found, dtype=np.int64)
         kind, exact = self.kinds[at], self.hashes[at]
-        before = np.concatenate([[_STOP], kind[:-1]]) if len(kind) else kind
-        after = np.concatenate([kind[1:], [_STOP]]) if len(kind) else kind
+        before = np.concatenate([[_STOP], kind[:-1]])
+        after = np.concatenate([kind[1:], [_STOP]])
         capital = kind == _CAPITAL
         name = capital & (before != _STOP)
         unit = ((kind == _UNIT) | (kind == _SIGN)) & (before == _NUMBER) | (kind == _SIGN) & (after == _NUMBER)
@@ -121,65 +127,104 @@ class Canon:
         keep = (kind != _STOP) & ((kind != _SIGN) | unit)
         word = np.flatnonzero(keep)
         folded = np.flatnonzero(keep & ~(capital & (before == _CAPITAL)))
-        label = np.where(unit, "u", np.where(number, "n", "a"))
         inner = np.where(name, np.uint64(1), codes)
         runs = np.where(capital, np.uint64(1), codes)
-        order = np.cumsum(keep) - 1
+        source = Source(texts, tokens, np.array(sizes), keep, unit, number)
         none = np.zeros(len(word), dtype=bool)
         return [
-            Form(_WORDS, exact[word], none, word, order, tokens, label, capital),
-            Form(_INNER, inner[word], (name | unit | number)[word], word, order, tokens, label, None),
-            Form(_RUNS, runs[folded], (capital | unit | number)[folded], folded, order, tokens, label, capital),
+            Form(_WORDS, exact[word], none, word, source, capital),
+            Form(_INNER, inner[word], (name | unit | number)[word], word, source, None),
+            Form(_RUNS, runs[folded], (capital | unit | number)[folded], folded, source, capital),
         ]
 
 
+class Source:
+    """The tokens of some texts: whose each is, and which word of its text."""
+
+    def __init__(self, texts, tokens, sizes, keep, unit, number) -> None:
+        self.n, self.tokens, self.unit, self.number = len(texts), tokens, unit, number
+        self.text = np.repeat(np.arange(self.n), sizes)
+        words = np.cumsum(keep)
+        ends = np.cumsum(sizes)
+        self.word = words - 1 - np.concatenate([[0], words[ends[:-1] - 1]])[self.text]
+
+    def label(self, i: int) -> str:
+        return "u" if self.unit[i] else "n" if self.number[i] else "a"
+
+
 class Form:
-    """Codes of one form of a text, whether each is a slot, and the values of the slots when asked."""
+    """Codes of one form of some texts, whether each is a slot, and the values of the slots when asked."""
 
-    def __init__(self, form, codes, slot, at, order, tokens, label, capital) -> None:
+    def __init__(self, form, codes, slot, at, source, capital) -> None:
         self.form, self.codes, self.slot, self.at = form, codes, slot, at
-        self._order, self._tokens, self._label, self._capital = order, tokens, label, capital
+        self._source, self._capital = source, capital
         self._known: dict[int, str] = {}
+        #: The text of every code; the number of codes of every text and where they begin.
+        self.text = source.text[at]
+        self.sizes = np.bincount(self.text, minlength=source.n)
+        self.first = np.cumsum(self.sizes) - self.sizes
 
-    def word(self, i: int) -> int:
-        """The place of code i among the words of the text."""
-        return int(self._order[self.at[i]])
+    def words(self, at: np.ndarray) -> np.ndarray:
+        """The places of codes among the words of their texts."""
+        return self._source.word[self.at[at]]
 
     def _value(self, i: int) -> str:
         if i not in self._known:
             a = int(self.at[i])
-            z = a + 1
+            z, tokens = a + 1, self._source.tokens
             if self._capital is not None and self._capital[a]:
-                while z < len(self._tokens) and self._capital[z]:
+                while z < len(tokens) and self._capital[z]:
                     z += 1
-            self._known[i] = f"{self._label[a]}:{' '.join(self._tokens[a:z]).lower()}"
+            self._known[i] = f"{self._source.label(a)}:{' '.join(tokens[a:z]).lower()}"
         return self._known[i]
 
     def values(self, i: int, length: int) -> list[str]:
         return [self._value(j) for j in range(i, i + length) if self.slot[j]]
 
     def plain(self, i: int, length: int) -> list[int]:
-        return [j for j in range(i, i + length) if not self.slot[j]]
+        """The places, in their text, of the codes of a window that are no slots."""
+        first = int(self.first[self.text[i]])
+        return [j - first for j in range(i, i + length) if not self.slot[j]]
 
     def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of every window of ``length`` codes, and whether it has an ordinary word."""
+        """Hash of every window of ``length`` codes, and whether it has an ordinary word and lies in one text."""
         plain = np.concatenate([[0], np.cumsum(~self.slot)])
-        return Hasher.runs(self.codes, length) + np.uint64(self.form), plain[length:] > plain[:-length]
-
-
-def _templates(lengths: list[int] | None, passing: np.ndarray | None, window: int):
+        inside = self.text[length - 1 :] == self.text[: len(self.text) - length + 1]
+        return Hasher.runs(self.codes, length) + np.uint64(self.form), (plain[length:] > plain[:-length]) & inside
+
+
+def _together(b: pa.RecordBatch) -> Iterator[tuple[list, list[str | None]]]:
+    """Ids and texts of a batch in groups of about _CHARS characters; a longer text is alone."""
+    ids, texts, held = [], [], 0
+    for row, text in zip(b.column("id").to_pylist(), b.column("text"), strict=True):
+        t = text.as_py()
+        if texts and held + len(t or "") > _CHARS:
+            yield ids, texts
+            ids, texts, held = [], [], 0
+        ids.append(row)
+        texts.append(t)
+        held += len(t or "")
+    if texts:
+        yield ids, texts
+
+
+def _templates(lengths: list[int] | None, passing: np.ndarray | None, window: int, kind: pa.DataType):
     """Windows of all texts; of items (``lengths`` None) by the item's own length, up to ``window``."""
+    schema = pa.schema([("id", kind), *_WINDOW_FIELDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
         for b in batches:
-            ids, forms, sizes, hashes, places, word, counts, plain, slots = ([] for _ in range(9))
-            for row, text in zip(b.column("id").to_pylist(), b.column("text"), strict=True):
-                for f in canon.forms(text.as_py()):
-                    for length in lengths or [min(window, len(f.codes))]:
-                        if not length or len(f.codes) < length:
+            for rows, texts in _together(b):
+                ids, forms, sizes, hashes, places, word, counts, plain, slots = ([] for _ in range(9))
+                for f in canon.forms(texts):
+                    own = np.minimum(f.sizes, window)
+                    for length in lengths or np.unique(own[own > 0]).tolist():
+                        if len(f.codes) < length:
                             continue
                         h, some = f.windows(length)
+                        if lengths is None:
+                            some &= own[f.text[: len(h)]] == length
                         if passing is not None:
                             bit = h >> np.uint64(64 - _BITS)
                             on = passing[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1
@@ -187,21 +232,21 @@ def _templates(lengths: list[int] | None, passing: np.ndarray | None, window: in
                         at = np.flatnonzero(some)
                         if not at.size:
                             continue
-                        ids += [row] * len(at)
+                        text = f.text[at]
+                        ids += [rows[i] for i in text.tolist()]
                         forms += [f.form] * len(at)
                         sizes += [length] * len(at)
-                        counts += [len(h)] * len(at)
+                        counts.append(f.sizes[text] - length + 1)
                         hashes.append(h[at])
-                        places.append(at)
+                        places.append(at - f.first[text])
+                        word.append(f.words(at))
                         at = at.tolist()
-                        word += [f.word(i) for i in at]
                         plain += [f.plain(i, length) if passing is None else None for i in at]
                         slots += [f.values(i, length) for i in at]
-            if ids:
-                h = np.concatenate(hashes).view(np.int64)
-                yield batch(
-                    _TEMPLATE, [ids, forms, sizes, h, np.concatenate(places), word, counts, plain, slots]
-                )
+                if ids:
+                    h = np.concatenate(hashes).view(np.int64)
+                    numbers = [np.concatenate(x) for x in (places, word, counts)]
+                    yield batch(schema, [ids, forms, sizes, h, *numbers, plain, slots])
 
     return run
 
@@ -234,20 +279,23 @@ def leaks(
     in the document, ``exact`` tells whether a long enough span has the item's own values. Texts that are
     null or without words match nothing. Repeated rows count once; rows that share a doc_id, or have
     none, count as one document, and likewise items. Empty tables give no rows. Other columns are
-    not looked at.
+    not looked at. A doc_id is a whole number or a string.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text"))
-    templates = stored(items.mapInArrow(_templates(None, None, window), _TEMPLATE_SQL), "templates")
+    of_items = _templates(None, None, window, pa.int64())
+    templates = stored(items.mapInArrow(of_items, f"id long, {_WINDOW_SQL}"), "templates")
     lengths = sorted(r["length"] for r in templates.select("length").distinct().collect())  # <= window of them
     passing = spark.sparkContext.broadcast(_filter(templates))
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    named = isinstance(docs.select(doc_id).schema[0].dataType, StringType)
+    kind, sql = (pa.string(), "string") if named else (pa.int64(), "long")
+    texts = docs.select(F.col(doc_id).cast(sql).alias("id"), F.col(text).alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if lengths:
-            yield from _templates(lengths, passing.value, window)(batches)
+            yield from _templates(lengths, passing.value, window, kind)(batches)
 
-    found = texts.mapInArrow(scan, _TEMPLATE_SQL).selectExpr(
+    found = texts.mapInArrow(scan, f"id {sql}, {_WINDOW_SQL}").selectExpr(
         "id AS doc_id", "form", "length", "hash", "place AS at", "word", "slots AS values"
     )
     known = templates.selectExpr(

@@ -47,6 +47,21 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have: ``name``, longer where it is taken."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def unused(docs: DataFrame, into: str) -> str:
+    """``into``; an error where ``docs`` has such a column, as nothing is overwritten unasked."""
+    if into.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the rows have a column {into!r} already")
+    return into
+
+
 def words(text: str | bytes | None) -> list[bytes]:
     """Maximal runs of bytes other than space and \\x09-\\x0D (what bytes.split takes for white space)."""
     if not text:

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sojourn.llm.common import batch
+from sojourn.llm.common import batch, unused
 
 RANKS = 300
 #: Profiles are learnt from at most so many documents of a language, those of the smallest hashes,
@@ -156,4 +156,4 @@ def predicted(docs: DataFrame, profiles: Profiles, text: str = "text", into: str
                 ["lang_pred", "score"],
             )
 
-    return docs.withColumn(into, run(F.col(text)))
+    return docs.withColumn(unused(docs, into), run(F.col(text)))

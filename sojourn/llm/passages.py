@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sojourn.llm.common import batch, forget, lists, stored, words
+from sojourn.llm.common import batch, forget, fresh, lists, stored, unused, words
 
 WINDOW = 50
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd multiplier of the rolling hash
@@ -304,6 +304,8 @@ def cleaned(
     are not earlier than each other; repeated rows keep the same words. An empty table gives no
     rows. ``into`` must not be a column of ``docs``; no other name matters.
     """
-    cuts = removals(docs, doc_id, text, window).select(F.col("doc_id").alias("__id"), F.col("cuts").alias("__cuts"))
-    joined = docs.join(cuts.hint("merge"), F.col(doc_id).cast("long") == F.col("__id"), "left")
-    return joined.withColumn(into, _clean(window)(F.col(text), F.col("__cuts"))).drop("__id", "__cuts")
+    key, found = (fresh(docs, name) for name in ("__id", "__cuts"))
+    unused(docs, into)
+    cuts = removals(docs, doc_id, text, window).select(F.col("doc_id").alias(key), F.col("cuts").alias(found))
+    joined = docs.join(cuts.hint("merge"), F.col(doc_id).cast("long") == F.col(key), "left")
+    return joined.withColumn(into, _clean(window)(F.col(text), F.col(found))).drop(key, found)

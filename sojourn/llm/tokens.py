@@ -19,6 +19,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sojourn.llm.common import unused
+
 #: A leaf ends at the first cut after so many characters.
 LEAF_CHARS = 512
 TREE = "struct<starts:array<int>,sums:array<bigint>>"
@@ -173,6 +175,20 @@ def recount(
     return again, new_starts + [moved(s) for s in starts[at:]]
 
 
+def folded(starts: list[int], tree: Tree, length: int) -> tuple[list[int], Tree]:
+    """Starts and tree without the leaves that edits emptied, for the next round of edits."""
+    ends = [*starts[1:], length]
+    full = [i for i, (a, b) in enumerate(zip(starts, ends, strict=True)) if a < b] or [0]
+    return [starts[i] for i in full], Tree.of([tree.sums[tree.width + i] for i in full])
+
+
+def _trees(states: list[tuple[list[int], list[int]]]) -> pa.StructArray:
+    return pa.StructArray.from_arrays(
+        [pa.array([x for x, _ in states], pa.list_(pa.int32())), pa.array([x for _, x in states], pa.list_(pa.int64()))],
+        ["starts", "sums"],
+    )
+
+
 def _count(path: str):
     encode = coder(path).encode_ordinary
     return lambda text: len(encode(text)) if text else 0
@@ -183,7 +199,9 @@ def counted(
 ) -> DataFrame:
     """All rows and columns of ``docs`` with the segment tree of each text in a struct ``into``.
 
-    A null text has the tree of the empty one, a single leaf of no tokens.
+    A null text has the tree of the empty one, a single leaf of no tokens. Repeated rows have equal
+    trees, an empty table gives no rows. A text without single blanks is one leaf. ``into`` must not
+    be a column of ``docs``.
     """
     path = vocabulary or default_vocabulary()
 
@@ -197,19 +215,17 @@ def counted(
                 starts = leaves(s)
                 parts = [s[x:y] for x, y in zip(starts, [*starts[1:], len(s)], strict=True)]
                 out.append((starts, Tree.of([count(p) for p in parts]).sums))
-            yield pa.StructArray.from_arrays(
-                [
-                    pa.array([x for x, _ in out], pa.list_(pa.int32())),
-                    pa.array([x for _, x in out], pa.list_(pa.int64())),
-                ],
-                ["starts", "sums"],
-            )
+            yield _trees(out)
 
-    return docs.withColumn(into, run(F.col(text)))
+    return docs.withColumn(unused(docs, into), run(F.col(text)))
 
 
 def redactions(docs: DataFrame, text: str = "text", into: str = "edits") -> DataFrame:
-    """All rows and columns of ``docs`` with the edits in ``into`` that take personal data out."""
+    """All rows and columns of ``docs`` with the edits in ``into`` that take personal data out.
+
+    Null and empty texts have none, repeated rows the same, an empty table gives no rows. ``into``
+    must not be a column of ``docs``.
+    """
     pattern = re.compile("|".join(f"({p})" for p, _ in PATTERNS), re.ASCII)
     names = [name for _, name in PATTERNS]
 
@@ -228,39 +244,46 @@ def redactions(docs: DataFrame, text: str = "text", into: str = "edits") -> Data
                 kind,
             )
 
-    return docs.withColumn(into, run(F.col(text)))
+    return docs.withColumn(unused(docs, into), run(F.col(text)))
 
 
 def recounted(
     docs: DataFrame, text: str = "text", tree: str = "tree", edits: str = "edits", into: str = "counts",
-    vocabulary: str | None = None,
+    vocabulary: str | None = None, state: bool = False,
 ) -> DataFrame:
     """All rows and columns of ``docs`` with the counts before and after ``edits`` in a struct ``into``.
 
-    ``n_reencoded`` of the ``n_leaves`` leaves were encoded again. Edits (places in characters of the
+    ``n_reencoded`` of the ``n_leaves`` leaves were encoded again. With ``state`` the struct also holds
+    the edited ``text`` and its ``tree``, from which the next round of edits goes on. Edits (places in characters of the
     old text) are sorted here; null edits are none, an edit with null text deletes, and overlapping
     edits or such beyond the text are an error. Null texts count as empty, repeated rows alike, an
     empty table gives no rows. ``into`` must not be a column of ``docs``.
     """
     path = vocabulary or default_vocabulary()
 
-    @F.arrow_udf(COUNTS)
+    @F.arrow_udf(COUNTS if not state else f"{COUNTS[:-1]},text:string,tree:{TREE}>")
     def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         count = _count(path)
-        names = ["n_before", "n_after", "n_leaves", "n_reencoded"]
+        names = ["n_before", "n_after", "n_leaves", "n_reencoded", *(["text", "tree"] if state else [])]
         for texts, trees, changes in batches:
-            out = []
+            out, kept = [], []
             for t, k, e in zip(texts, trees, changes, strict=True):
-                s, state = t.as_py() or "", k.as_py()
+                s, old = t.as_py() or "", k.as_py()
                 todo = sorted((x["start"], x["stop"], x["text"] or "") for x in e.as_py() or [])
                 places = [p for a, b, _ in todo for p in (a, b)]
                 if places != sorted(places) or places and (places[0] < 0 or places[-1] > len(s)):
                     raise ValueError("edits overlap or lie beyond the text")
-                sums = Tree(state["sums"])
+                sums = Tree(old["sums"])
                 before = sums.total
-                again, _ = recount(s, state["starts"], sums, todo, count)
-                out.append((before, sums.total, len(state["starts"]), again))
-            columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
-
-    return docs.withColumn(into, run(F.col(text), F.col(tree), F.col(edits)))
+                again, starts = recount(s, old["starts"], sums, todo, count)
+                out.append((before, sums.total, len(old["starts"]), again))
+                if state:
+                    after = edited(s, todo)
+                    starts, sums = folded(starts, sums, len(after)) if todo else (starts, sums)
+                    kept.append((after, (starts, sums.sums)))
+            columns = [pa.array(c, pa.int64()) for c in list(zip(*out, strict=True)) or [[], [], [], []]]
+            if state:
+                columns += [pa.array([s for s, _ in kept], pa.string()), _trees([x for _, x in kept])]
+            yield pa.StructArray.from_arrays(columns, names)
+
+    return docs.withColumn(unused(docs, into), run(F.col(text), F.col(tree), F.col(edits)))

@@ -28,6 +28,8 @@ REVISIT_BYTES = 100
 #: The dictionary is made from at most so many records, those of the smallest hashes, and bytes.
 SAMPLE_ROWS = 2000
 SAMPLE_BYTES = 16 << 20
+#: Larger payloads join the sample after all others, the smallest first: none ends it early.
+SAMPLE_ROW_BYTES = 256 << 10
 DICTIONARY_BYTES = 110 << 10
 LEVEL = 3
 #: A task starts another archive when one has so many compressed bytes.
@@ -201,7 +203,8 @@ def archive(
     order = ["hash", "digest", "page_id"]
     keys = rows.select(F.xxhash64("page_id").alias("hash"), "digest", "page_id", F.length("payload").alias("size"))
     sample = keys.where("page_id IS NOT NULL").distinct().orderBy(*order).limit(SAMPLE_ROWS)
-    so_far = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    large = F.greatest("size", F.lit(SAMPLE_ROW_BYTES))
+    so_far = F.sum("size").over(Window.orderBy(large, *order).rowsBetween(Window.unboundedPreceding, 0))
     picked = sample.withColumn("upto", so_far).where(F.col("upto") <= SAMPLE_BYTES).select("digest", "page_id")
     bounded = (
         rows.join(F.broadcast(picked), ["digest", "page_id"])  # SAMPLE_ROWS rows at most

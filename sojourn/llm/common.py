@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from sojourn.session import new_folder
 BLOCK = 4096
 #: Rows of an Arrow batch.
 BATCH_ROWS = 1000
+#: After a batch of so many bytes a worker gives its free memory back at once.
+LARGE_BATCH = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -69,6 +72,31 @@ def words(text: str | bytes | None) -> list[bytes]:
     return (text.encode() if isinstance(text, str) else text).split()
 
 
+def release() -> None:
+    """Give memory that is free, but kept by the allocators, back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function over batches, giving free memory back: Spark keeps a worker for the stages that follow."""
+
+    def watched(batches: Iterator) -> Iterator:
+        for b in batches:
+            yield b
+            if b.nbytes > LARGE_BATCH:
+                release()
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(watched(batches))
+        release()
+
+    return wrapped
+
+
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     arrays = [
         c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)

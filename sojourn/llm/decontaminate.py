@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from sojourn.llm.common import batch, stored
+from sojourn.llm.common import batch, stored, tidy
 from sojourn.llm.passages import Hasher
 
 WINDOW = 8
@@ -295,7 +295,7 @@ def leaks(
         if lengths:
             yield from _templates(lengths, passing.value, window, kind)(batches)
 
-    found = texts.mapInArrow(scan, f"id {sql}, {_WINDOW_SQL}").selectExpr(
+    found = texts.mapInArrow(tidy(scan), f"id {sql}, {_WINDOW_SQL}").selectExpr(
         "id AS doc_id", "form", "length", "hash", "place AS at", "word", "slots AS values"
     )
     known = templates.selectExpr(

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sojourn.llm.common import batch, stored
+from sojourn.llm.common import batch, stored, tidy
 
 SEQUENCE = 2048
 END = 1  # id after each document
@@ -206,7 +206,7 @@ def pack(
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     pieces = stored(
         rows.mapInArrow(
-            _cut(vocabulary or default_vocabulary(), sequence),
+            tidy(_cut(vocabulary or default_vocabulary(), sequence)),
             "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, task long, place long",
         ),
         "pieces",

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sojourn.llm.common import batch, forget, fresh, lists, stored, unused, words
+from sojourn.llm.common import batch, forget, fresh, lists, release, stored, tidy, unused, words
 
 WINDOW = 50
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd multiplier of the rolling hash
@@ -188,7 +188,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     scan = stored(
         rows.where("doc_id IS NOT NULL").mapInArrow(
-            _scan(window), "doc_id long, identity binary, n_words long, halves array<long>, places array<int>"
+            tidy(_scan(window)), "doc_id long, identity binary, n_words long, halves array<long>, places array<int>"
         ),
         "passages-scan",
     )
@@ -230,7 +230,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     wide = stored(
         # Texts are long and shrink well in files: at no size is a table of them broadcast.
         rows.join(alive.hint("merge"), "doc_id").mapInArrow(
-            _widen(window), "doc_id long, turn long, hashes array<long>, places array<int>"
+            tidy(_widen(window)), "doc_id long, turn long, hashes array<long>, places array<int>"
         ),
         "passages-wide",
     )
@@ -286,6 +286,7 @@ def _clean(window: int) -> Column:
                 kept = joined.decode()
             out.append((n, removed, hashlib.sha256(joined).hexdigest(), kept))
         columns = list(zip(*out, strict=True)) or [[], [], [], []]
+        release()
         return pa.StructArray.from_arrays(
             [pa.array(v, f.type) for v, f in zip(columns, _CLEANED, strict=True)], fields=list(_CLEANED)
         )

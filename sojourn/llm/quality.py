@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sojourn.llm.common import unused
+from sojourn.llm.common import release, unused
 
 #: The fit uses at most so many labelled rows of a class, those of the smallest hashes, and of
 #: these no more than so many bytes. Scores use every text whole.
@@ -175,6 +175,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", into: str = "score
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
             yield pa.array(score_texts(model, b.to_pylist()), pa.float64())
+        release()
 
     return docs.withColumn(unused(docs, into), run(F.col(text)))
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sojourn.llm.common import BLOCK, batch, forest, forget, in_blocks, stored, whole_runs, words
+from sojourn.llm.common import BLOCK, batch, forest, forget, in_blocks, stored, tidy, whole_runs, words
 from sojourn.operators.graph import connected_components
 
 SEED = 42
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ro
 
     kept = F.col(row).cast("string") if row else F.lit(None).cast("string")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), kept.alias("row"))
-    return rows.mapInArrow(run, "doc_id long, fp long, row string")
+    return rows.mapInArrow(tidy(run), "doc_id long, fp long, row string")
 
 
 def _cells(fps: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def links(fps: DataFrame) -> DataFrame:
     cells = _cells(fps.select("fp").distinct())
     rows = in_blocks(cells, _crowded(cells), "key").select("key", "slot", "fp", "home")
     together = rows.repartition("key", "slot").sortWithinPartitions("key", "slot")
-    return together.mapInArrow(_verify, "src long, dst long").distinct()
+    return together.mapInArrow(tidy(_verify), "src long, dst long").distinct()
 
 
 def near_duplicates(

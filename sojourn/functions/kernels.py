@@ -8,35 +8,13 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pyarrow as pa
 
 from sojourn.params import EARTH_RADIUS_M
 
 
-# ---------------------------------------------------------------- batches of whole groups
-def whole_groups(batches: Iterable[pa.RecordBatch], end_flag: str) -> Iterator[pa.Table]:
-    """Re-cut a sorted batch stream so that every table holds only complete groups.
-
-    ``end_flag`` is a boolean column that is true on the last row of each group.
-    """
-    pending: list[pa.RecordBatch] = []
-    for batch in batches:
-        ends = np.flatnonzero(np.asarray(batch.column(end_flag)))
-        if len(ends) == 0:
-            if batch.num_rows:
-                pending.append(batch)
-            continue
-        split = int(ends[-1]) + 1
-        yield pa.Table.from_batches(pending + [batch.slice(0, split)])
-        rest = batch.slice(split)
-        pending = [rest] if rest.num_rows else []
-    if pending:
-        yield pa.Table.from_batches(pending)
-
-
+# ---------------------------------------------------------------- runs of rows
 def group_starts(end_flags: np.ndarray) -> np.ndarray:
     """Start offsets of the groups whose last rows are flagged."""
     starts = np.concatenate(([0], np.flatnonzero(end_flags[:-1]) + 1)).astype(np.int64)
@@ -101,6 +79,37 @@ class _RunningMedian:
             heapq.heappush(high, -heapq.heappushpop(low, -x))
             self.value = 0.5 * (-low[0] + high[0])
 
+    @classmethod
+    def of(cls, values: np.ndarray) -> _RunningMedian:
+        """The state after all of ``values``: sorted halves are heaps already."""
+        x = np.sort(values)
+        half = (len(x) + 1) // 2
+        out = cls(0.0)
+        out.low, out.high = (-x[:half][::-1]).tolist(), x[half:].tolist()
+        out.value = -out.low[0] if len(x) % 2 else 0.5 * (-out.low[0] + out.high[0])
+        return out
+
+
+def _walk(
+    la: list[float], lo: list[float], i: int, mlat: _RunningMedian, mlon: _RunningMedian, r1: float, metric: str
+) -> int:
+    """Add points from the ``i``-th on to the medians; the first that lies farther than ``r1`` from them."""
+    radians, sin, cos, asin, sqrt = math.radians, math.sin, math.cos, math.asin, math.sqrt
+    spherical = metric == "haversine"
+    for i in range(i, len(la)):
+        y, x = la[i], lo[i]
+        if spherical:
+            p1, p2 = radians(y), radians(mlat.value)
+            h = sin((p2 - p1) / 2) ** 2 + sin(radians(mlon.value - x) / 2) ** 2 * cos(p1) * cos(p2)
+            d = 2 * EARTH_RADIUS_M * asin(sqrt(h if h < 1.0 else 1.0))
+        else:
+            d = math.hypot(y - mlat.value, x - mlon.value)
+        if not d <= r1:
+            return i
+        mlat.add(y)
+        mlon.add(x)
+    return len(la)
+
 
 def stationary_cuts(
     lat: np.ndarray, lon: np.ndarray, starts: np.ndarray, r1: float, metric: str
@@ -122,28 +131,13 @@ def stationary_cuts(
         np.maximum.reduceat(lat, starts),
         np.maximum.reduceat(lon, starts),
     )
-    radians, sin, cos, asin, sqrt = math.radians, math.sin, math.cos, math.asin, math.sqrt
-    spherical = metric == "haversine"
     for s in np.flatnonzero(~(width <= r1 * (1 - 1e-9))):
         a, b = int(starts[s]), int(ends[s])
-        if b - a == 1:
-            continue
         la, lo = lat[a:b].tolist(), lon[a:b].tolist()
-        mlat, mlon = _RunningMedian(la[0]), _RunningMedian(lo[0])
-        for i in range(1, b - a):
-            y, x = la[i], lo[i]
-            if spherical:
-                p1, p2 = radians(y), radians(mlat.value)
-                h = sin((p2 - p1) / 2) ** 2 + sin(radians(mlon.value - x) / 2) ** 2 * cos(p1) * cos(p2)
-                d = 2 * EARTH_RADIUS_M * asin(sqrt(h if h < 1.0 else 1.0))
-            else:
-                d = math.hypot(y - mlat.value, x - mlon.value)
-            if d <= r1:
-                mlat.add(y)
-                mlon.add(x)
-            else:
-                cut[a + i] = True
-                mlat, mlon = _RunningMedian(y), _RunningMedian(x)
+        i = 0
+        while i < b - a:
+            cut[a + i] = True
+            i = _walk(la, lo, i + 1, _RunningMedian(la[i]), _RunningMedian(lo[i]), r1, metric)
     return cut
 
 
@@ -155,6 +149,60 @@ def grouped_median(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return 0.5 * (ordered[starts + (sizes - 1) // 2] + ordered[starts + sizes // 2])
 
 
+class StationaryGroup:
+    """A group that goes on over batches of rows: its running median, not its rows.
+
+    While its bounding box is no wider than ``r1`` it cannot break and its coordinates are only kept
+    (two doubles a point); then two heaps take their place.
+    """
+
+    def __init__(self, lat: np.ndarray, lon: np.ndarray, r1: float, metric: str) -> None:
+        self.r1, self.metric = r1, metric
+        self.box = (math.inf, math.inf, -math.inf, -math.inf)
+        self.kept: list[tuple[np.ndarray, np.ndarray]] = []
+        self.medians: tuple[_RunningMedian, _RunningMedian] | None = None
+        self._widen(lat, lon)
+        self._keep(lat, lon)
+        if not self._narrow():
+            self._to_heaps()
+
+    def _widen(self, lat: np.ndarray, lon: np.ndarray) -> None:
+        a, b, c, d = self.box
+        self.box = min(a, lat.min()), min(b, lon.min()), max(c, lat.max()), max(d, lon.max())
+
+    def _keep(self, lat: np.ndarray, lon: np.ndarray) -> None:
+        self.kept.append((lat.copy(), lon.copy()))
+
+    def _narrow(self) -> bool:
+        return bool(_box_diameter(self.metric, *self.box) <= self.r1 * (1 - 1e-9))
+
+    def _values(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([k[0] for k in self.kept]), np.concatenate([k[1] for k in self.kept])
+
+    def _to_heaps(self) -> None:
+        lat, lon = self._values()
+        self.medians = _RunningMedian.of(lat), _RunningMedian.of(lon)
+        self.kept = []
+
+    def take(self, lat: np.ndarray, lon: np.ndarray) -> int:
+        """Add the rows that follow as far as they belong to the group; their number."""
+        if not len(lat):
+            return 0
+        if self.medians is None:
+            self._widen(lat, lon)
+            if self._narrow():
+                self._keep(lat, lon)
+                return len(lat)
+            self._to_heaps()
+        return _walk(lat.tolist(), lon.tolist(), 0, *self.medians, self.r1, self.metric)
+
+    def median(self) -> tuple[float, float]:
+        if self.medians is not None:
+            return self.medians[0].value, self.medians[1].value
+        lat, lon = self._values()
+        return float(np.median(lat)), float(np.median(lon))
+
+
 # ---------------------------------------------------------------- map equation
 def _plogp(x: float) -> float:
     return x * math.log2(x) if x > 0.0 else 0.0

@@ -82,34 +82,125 @@ def _segmented(trace: DataFrame, p: StayParams, timed: bool, fill: bool) -> Data
 
 
 def _event_kernel(p: StayParams, timed: bool, as_runs: bool):
+    """The groups of sorted rows. One that a batch leaves open goes on as its running median and as
+    its runs (or its pings, where each of them is to carry the event's median)."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in kernels.whole_groups(batches, "is_end"):
-            out = _events_of(table, p, timed, as_runs)
-            yield from out.to_batches()
+        group = rows = None
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            t, lat, lon, nxt, end = _columns(batch)
+            done = 0
+            if group is not None:
+                reach = int(np.argmax(end)) + 1 if end.any() else n
+                done = group.take(lat[:reach], lon[:reach])
+                rows.add(batch.slice(0, done))
+                if done < reach or end[reach - 1]:
+                    yield from rows.close(*group.median())
+                    group = rows = None
+            if done == n:
+                continue
+            cut = kernels.stationary_cuts(
+                lat[done:], lon[done:], kernels.group_starts(end[done:]), p.r1, p.distance_metric
+            )
+            last = n if end[-1] else done + int(np.flatnonzero(cut)[-1])
+            if last > done:
+                yield _events_of(batch.slice(done, last - done), cut[: last - done], p, timed, as_runs)
+            if last < n:
+                group = kernels.StationaryGroup(lat[last:], lon[last:], p.r1, p.distance_metric)
+                rows = (_OpenRuns if as_runs else _OpenPings)(batch.slice(last), p, timed)
+        if group is not None:
+            yield from rows.close(*group.median())
 
     return run
 
 
-def _events_of(table: pa.Table, p: StayParams, timed: bool, as_runs: bool) -> pa.Table:
-    t, lat, lon, nxt, end = (
-        table.column(c).to_numpy() for c in ("timestamp", "latitude", "longitude", "next_time", "is_end")
-    )
+def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    names = ("timestamp", "latitude", "longitude", "next_time", "is_end")
+    return [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+
+
+def _stationary(p: StayParams, timed: bool, size, seconds):
+    """Is a group of so many pings over so many seconds an event?"""
+    return (size >= p.min_size) & (seconds >= p.min_staying_time) if timed else size >= p.min_size
+
+
+class _OpenPings:
+    """The pings of a group that goes on over batches."""
+
+    def __init__(self, batch: pa.RecordBatch, p: StayParams, timed: bool) -> None:
+        self.p, self.timed = p, timed
+        self.batches = [batch]
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.batches.append(batch)
+
+    def close(self, lat: float, lon: float) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in self.batches if b.num_rows]
+        start, end = batches[0].column("timestamp")[0].as_py(), batches[-1].column("timestamp")[-1].as_py()
+        event = _stationary(self.p, self.timed, sum(b.num_rows for b in batches), end - start)
+        for b in batches:
+            constants = [
+                pa.array(np.full(b.num_rows, x), mask=np.full(b.num_rows, not event)) for x in (start, lat, lon)
+            ]
+            columns = [b.column(c) for c in ("device_aid", *TRACE)]
+            yield pa.RecordBatch.from_arrays(
+                columns + constants,
+                ["device_aid", *TRACE, "event_start", "event_latitude", "event_longitude"],
+            )
+
+
+class _OpenRuns:
+    """The runs of a group that goes on over batches: nothing of them grows with its pings."""
+
+    def __init__(self, batch: pa.RecordBatch, p: StayParams, timed: bool) -> None:
+        self.p, self.timed = p, timed
+        self.device = batch.column("device_aid").slice(0, 1)
+        self.runs: list[list[int]] = []  # start, end, size, next_time
+        self.add(batch)
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        if not batch.num_rows:
+            return
+        t, nxt = batch.column("timestamp").to_numpy(), batch.column("next_time").to_numpy()
+        breaks = np.flatnonzero(np.diff(t) >= self.p.max_time_between) + 1 if self.timed else []
+        first = np.concatenate(([0], breaks)).astype(np.int64)
+        last = np.append(first[1:], len(t)) - 1
+        found = np.column_stack([t[first], t[last], last - first + 1, nxt[last]]).tolist()
+        if self.runs and not (self.timed and found[0][0] - self.runs[-1][1] >= self.p.max_time_between):
+            open_, more = self.runs[-1], found.pop(0)
+            self.runs[-1] = [open_[0], more[1], open_[2] + more[2], more[3]]
+        self.runs += found
+
+    def close(self, lat: float, lon: float) -> Iterator[pa.RecordBatch]:
+        start, end, size, nxt = (np.array(c) for c in zip(*self.runs, strict=True))
+        if not _stationary(self.p, self.timed, size.sum(), end[-1] - start[0]):
+            return
+        n = len(start)
+        device = pc.take(self.device, pa.array(np.zeros(n, dtype=np.int64)))
+        columns = [device, start, end, size, np.full(n, start[0]), np.full(n, lat), np.full(n, lon), nxt]
+        names = ["device_aid", "start", "end", "size", "event_start", "latitude", "longitude", "next_time"]
+        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
+
+
+def _events_of(batch: pa.RecordBatch, cut: np.ndarray, p: StayParams, timed: bool, as_runs: bool) -> pa.RecordBatch:
+    """The same for groups that lie in one batch, all at once."""
+    t, lat, lon, nxt, _ = _columns(batch)
     n = len(t)
-    cut = kernels.stationary_cuts(lat, lon, kernels.group_starts(end), p.r1, p.distance_metric)
     starts = np.flatnonzero(cut)
     sizes = np.diff(np.append(starts, n))
     lasts = starts + sizes - 1
-    valid = sizes >= p.min_size
-    if timed:
-        valid &= t[lasts] - t[starts] >= p.min_staying_time
+    valid = _stationary(p, timed, sizes, t[lasts] - t[starts])
     event_lat = kernels.grouped_median(lat, starts)
     event_lon = kernels.grouped_median(lon, starts)
     group = np.cumsum(cut) - 1
     if not as_runs:
         moving = ~valid[group]
-        return pa.table(
+        return pa.RecordBatch.from_pydict(
             {
-                "device_aid": table.column("device_aid"),
+                "device_aid": batch.column("device_aid"),
                 "timestamp": t,
                 "latitude": lat,
                 "longitude": lon,
@@ -127,9 +218,9 @@ def _events_of(table: pa.Table, p: StayParams, timed: bool, as_runs: bool) -> pa
     keep = valid[group[first]]
     first, last = first[keep], last[keep]
     g = group[first]
-    return pa.table(
+    return pa.RecordBatch.from_pydict(
         {
-            "device_aid": pc.take(table.column("device_aid"), pa.array(first)),
+            "device_aid": pc.take(batch.column("device_aid"), pa.array(first)),
             "start": t[first],
             "end": t[last],
             "size": last - first + 1,

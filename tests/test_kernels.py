@@ -1,11 +1,14 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sojourn.functions import kernels
+from sojourn.operators.trace import _event_kernel
+from sojourn.params import StayParams
 from tests.reference_model import events
 
 
@@ -117,12 +120,60 @@ def test_hull_contains_all_points_and_is_convex(points):
         assert (side >= -1e-9).all()
 
 
-@pytest.mark.parametrize("size", [1, 2, 3, 7])
-def test_whole_groups_survive_any_batching(size):
-    import pyarrow as pa
+def event_rows(seed, n):
+    """Sorted rows as the event kernel gets them: slow drifts, jumps, steps at the limit, ends of segments."""
+    rng = np.random.default_rng(seed)
+    step = rng.choice([1, 60, 600, 10800], n, p=[0.3, 0.4, 0.2, 0.1])
+    end = rng.random(n) < rng.choice([0.0, 0.05, 0.5])
+    end[-1] = True
+    wide = rng.choice([0.0, 2e-5, 1.5e-4])
+    drift = np.cumsum(rng.normal(0, wide / 4 + 1e-7, n))
+    return pa.RecordBatch.from_pydict(
+        {
+            "device_aid": pa.array([f"d{k}" for k in np.cumsum(np.append(0, end[:-1]))]),
+            "timestamp": 1_700_000_000 + np.cumsum(step),
+            "next_time": 1_700_000_000 + np.cumsum(np.append(step, 1))[1:],
+            "is_end": end,
+            "latitude": 55.5 + drift + rng.integers(0, 3, n) * wide,
+            "longitude": 13.0 + rng.integers(0, 3, n) * wide,
+        }
+    )
+
 
-    end = np.array([False, True, False, False, True, True, False, True])
-    table = pa.table({"v": np.arange(8), "end": end})
-    parts = list(kernels.whole_groups(table.to_batches(max_chunksize=size), "end"))
-    assert pa.concat_tables(parts).column("v").to_pylist() == list(range(8))
-    assert all(p.column("end")[-1].as_py() for p in parts)
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 300), st.lists(st.integers(1, 40), min_size=1), st.booleans(), st.booleans())
+def test_groups_do_not_depend_on_the_batches(seed, n, sizes, timed, as_runs):
+    rows = event_rows(seed, n)
+    cuts, at = [], 0
+    while at < n:
+        cuts.append(rows.slice(at, sizes[len(cuts) % len(sizes)]))
+        at += cuts[-1].num_rows
+    kernel = _event_kernel(StayParams(), timed, as_runs)
+    one, many = (sorted(str(r) for b in kernel(x) for r in b.to_pylist()) for x in ([rows], cuts))
+    assert one == many
+
+
+def test_a_long_segment_leaves_only_its_medians_and_runs_behind():
+    n, size = 400_000, 10_000
+    rng = np.random.default_rng(7)
+
+    def batches(spread, peak):
+        for at in range(0, n, size):
+            t = np.arange(at, at + size, dtype=np.int64)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "device_aid": pa.array(["d"] * size),
+                    "timestamp": t,
+                    "next_time": t + 1,
+                    "is_end": t == n - 1,
+                    "latitude": 55.5 + rng.random(size) * spread,
+                    "longitude": 13.0 + rng.random(size) * spread,
+                }
+            )
+            peak.append(pa.total_allocated_bytes())
+
+    for spread in (1e-5, 2.5e-4):
+        peak = []
+        (out,) = _event_kernel(StayParams(), False, True)(batches(spread, peak))
+        assert out.to_pylist()[0]["size"] == n
+        assert max(peak[5:]) < 2 * max(peak[:5])  # no batch is held

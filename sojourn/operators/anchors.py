@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sojourn.functions import geo
 from sojourn.params import AnchorParams
@@ -43,16 +44,27 @@ def home_candidates_daily(days: DataFrame, p: AnchorParams = AnchorParams()) ->
     return _top(per, ["device_aid", "night"], "seconds")
 
 
-def _windowed(rows: DataFrame, day: str, observed: DataFrame, span: int, value) -> DataFrame:
-    """Spread each day row over the observed days whose trailing window contains it and total it.
+def _windowed(rows: DataFrame, day: str, observed: DataFrame, span: int, value: Column) -> DataFrame:
+    """Total of each location over the trailing window of every observed day.
 
-    A row meets at most ``span`` days, so this stays linear where a days-by-locations product
-    would not.
+    A row adds its value on its day and takes it back ``span`` days later: two rows per day row, none
+    per day of the window. Their running sum is the total from one change to the next. The observed
+    days meet it as one list per device, so that all keys begin with the device and rows that are
+    partitioned by it stay where they are.
     """
-    reach = F.explode(F.sequence(F.col(day), F.col(day) + (span - 1)))
-    spread = rows.select("device_aid", "loc", value.alias("_v"), reach.alias("day"))
-    totals = spread.groupBy("device_aid", "day", "loc").agg(F.sum("_v").alias("amount"))
-    return totals.join(observed, ["device_aid", "day"], "left_semi")
+    comes = F.struct(F.col(day).alias("_from"), value.alias("_v"))
+    goes = F.struct((F.col(day) + span).alias("_from"), (-value).alias("_v"))
+    changes = rows.select("device_aid", "loc", F.inline(F.array(comes, goes)))
+    changes = changes.groupBy("device_aid", "loc", "_from").agg(F.sum("_v").alias("_v")).where("_v != 0")
+    w = Window.partitionBy("device_aid", "loc").orderBy("_from")
+    steps = changes.select(
+        "device_aid", "loc", "_from",
+        F.lead("_from").over(w).alias("_until"),
+        F.sum("_v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("amount"),
+    ).where("amount > 0")
+    seen = observed.groupBy("device_aid").agg(F.collect_set("day").alias("_days"))
+    inside = F.filter("_days", lambda d: (d >= F.col("_from")) & (d < F.col("_until")))
+    return steps.join(seen, "device_aid").select("device_aid", "loc", "amount", F.explode(inside).alias("day"))
 
 
 def home_by_window(candidates: DataFrame, observed: DataFrame, p: AnchorParams = AnchorParams()) -> DataFrame:
@@ -105,8 +117,12 @@ def home_work_locations(
 
 
 def detect_home_work(stays: DataFrame, p: AnchorParams = AnchorParams()) -> DataFrame:
-    """Stays -> one home/work row per device."""
-    days = stay_days(stays)
+    """Stays -> one home/work row per device.
+
+    Stays are partitioned by device once; every window and total below starts with the device. Only
+    the removal of homes from work and the final join by location shuffle again, on daily rows.
+    """
+    days = stay_days(stays.select("device_aid", "loc", "localtime", "l_localtime").repartition("device_aid"))
     seen = observed_days(days)
     homes = home_by_window(home_candidates_daily(days, p), seen, p)
     return home_work_locations(homes, work_by_window(days, homes, seen, p), stays, p)

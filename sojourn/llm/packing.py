@@ -115,19 +115,9 @@ class Encoder:
         return _MARK.sub(rb" \1", raw.lower()).split()
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One encoder for all tasks of a Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def _cut(path: str, sequence: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = Encoder(path)  # of this task: Spark keeps the worker, and its words would stay in memory
         task = TaskContext.get().partitionId()
         places = np.zeros(sequence + 1, dtype=np.int64)
         for b in batches:

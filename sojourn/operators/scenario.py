@@ -35,21 +35,24 @@ def rewire_candidates(flagged: DataFrame, reachable: DataFrame) -> DataFrame:
     return away.join(venues, ["grid_id", "category"])
 
 
-def decay_weights(
+SPOT = ["grid_id", "home_latitude", "home_longitude"]
+
+
+def running_shares(
     wanted: DataFrame, reachable: DataFrame, homes: DataFrame, pois: DataFrame, p: ScenarioParams = ScenarioParams()
 ) -> DataFrame:
-    """Candidate shares per device and category, decaying with distance from home.
+    """One row per home spot and category: its candidates in venue order, with running weights.
 
-    ``wanted``: device_aid, category (any number of rows; each pair is expanded once). Adds the
-    running share (lo, hi] in venue order, which :func:`rewire_trips` draws from. The window is
-    bounded by the venues of one category within one walk.
+    ``wanted``: device_aid, category (any number of rows). Devices that live at one spot share a row,
+    so nothing here grows with devices or trips. ``candidates`` is an array of (poi_id, km, weight,
+    run), bounded by the venues of one category within one walk; the last run is the total. Homes
+    without coordinates have no candidates.
     """
     at = pois.select("poi_id", F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
-    home = homes.select("device_aid", "grid_id", "home_latitude", "home_longitude")
-    venues = reachable.select("grid_id", "category", "poi_id").distinct()
-    rows = wanted.select("device_aid", "category").distinct().join(home, "device_aid").join(
-        venues, ["grid_id", "category"]
-    ).join(at, "poi_id")
+    home = homes.select("device_aid", *SPOT)
+    spots = wanted.select("device_aid", "category").distinct().join(home, "device_aid").select(*SPOT, "category").distinct()
+    spots = spots.where(F.col("home_latitude").isNotNull() & F.col("home_longitude").isNotNull())
+    venues = reachable.select("grid_id", "category", "poi_id").distinct().join(at, "poi_id")
     km = geo.haversine_m("home_latitude", "home_longitude", "_lat", "_lon") / 1000
     km = F.greatest(km, F.lit(float(p.floor_km)))
     if p.decay == "power":
@@ -58,16 +61,51 @@ def decay_weights(
         weight = F.exp(-float(p.beta) * km)
     else:
         raise ValueError(f"unknown decay {p.decay!r}")
-    every = Window.partitionBy("device_aid", "category")
-    upto = every.orderBy("poi_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.select("device_aid", "category", "poi_id", km.alias("km"), weight.alias("weight"))
-    rows = rows.withColumn("_total", F.sum("weight").over(every)).withColumn("_run", F.sum("weight").over(upto))
-    last = F.lead("poi_id").over(every.orderBy("poi_id")).isNull()
+    rows = spots.join(venues, ["grid_id", "category"]).withColumns({"km": km, "weight": weight})
+    upto = Window.partitionBy(*SPOT, "category").orderBy("poi_id")
+    upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # The window and the grouping have the same keys: one shuffle serves both.
+    rows = rows.withColumn("run", F.sum("weight").over(upto))
+    steps = F.sort_array(F.collect_list(F.struct("poi_id", "km", "weight", "run")))
+    return rows.groupBy(*SPOT, "category").agg(steps.alias("candidates"))
+
+
+def decay_weights(
+    wanted: DataFrame, reachable: DataFrame, homes: DataFrame, pois: DataFrame, p: ScenarioParams = ScenarioParams()
+) -> DataFrame:
+    """Candidate shares per device and category, decaying with distance from home.
+
+    A report with a row per device and venue; :func:`rewire_trips` draws from the running shares
+    per home spot instead.
+    """
+    shares = running_shares(wanted, reachable, homes, pois, p)
+    devices = wanted.select("device_aid", "category").distinct().join(homes.select("device_aid", *SPOT), "device_aid")
+    rows = devices.join(shares, [*SPOT, "category"])
+    rows = rows.withColumn("_total", F.element_at("candidates", -1)["run"])
+    rows = rows.select("device_aid", "category", "_total", F.inline("candidates"))
     return rows.select(
-        "device_aid", "category", "poi_id", "km", "weight",
-        (F.col("weight") / F.col("_total")).alias("share"),
-        F.when(last, F.lit(2.0)).otherwise(F.col("_run") / F.col("_total")).alias("hi"),
-    ).withColumn("lo", F.coalesce(F.lag("hi").over(every.orderBy("poi_id")), F.lit(-1.0)))
+        "device_aid", "category", "poi_id", "km", "weight", (F.col("weight") / F.col("_total")).alias("share")
+    )
+
+
+def _drawn(candidates: Column, u: Column) -> Column:
+    """The candidate whose running share is the first that reaches ``u``, by bisection of the array.
+
+    The offset grows by falling powers of two as long as the share before it stays below ``u``; the
+    last candidate takes what rounding may leave above its share.
+    """
+    n = F.size(candidates)
+    total = F.element_at(candidates, -1)["run"]
+    powers = F.transform(
+        F.sequence(F.floor(F.log2(n.cast("double"))).cast("int"), F.lit(0), F.lit(-1)),
+        lambda k: F.pow(F.lit(2.0), k).cast("int"),
+    )
+
+    def step(offset: Column, width: Column) -> Column:
+        to = offset + width
+        return F.when((to < n) & (F.get(candidates, to - 1)["run"] / total < u), to).otherwise(offset)
+
+    return F.get(candidates, F.aggregate(powers, F.lit(0), step))["poi_id"]
 
 
 def rewire_trips(
@@ -76,15 +114,17 @@ def rewire_trips(
     """One final venue per trip: kept when within reach, drawn by share when candidates exist,
     else the original.
 
-    The draw is a number fixed by seed and stop id, looked up in the running shares of the trip's
-    device and category: one row out per trip, the same for any partitioning.
+    ``shares``: rows of :func:`running_shares`. The draw is a number fixed by seed and stop id; a
+    trip meets the one row of its home spot and category and searches its array, so no row per trip
+    and venue exists and the result is the same for any partitioning.
     """
-    away = flagged.where(~F.col("within_isochrone")).withColumn("_u", uniform_draw(p.seed, F.col("stop_id")))
-    pick = shares.select("device_aid", "category", F.col("poi_id").alias("drawn_id"), "lo", "hi")
+    away = flagged.where(~F.col("within_isochrone")).select(
+        "stop_id", "device_aid", "category", uniform_draw(p.seed, F.col("stop_id")).alias("_u")
+    )
     drawn = (
-        away.join(pick, ["device_aid", "category"])
-        .where((F.col("_u") > F.col("lo")) & (F.col("_u") <= F.col("hi")))
-        .select("stop_id", "drawn_id")
+        away.join(homes.select("device_aid", *SPOT), "device_aid")
+        .join(shares, [*SPOT, "category"])
+        .select("stop_id", _drawn(F.col("candidates"), F.col("_u")).alias("drawn_id"))
     )
     at = pois.select(F.col("poi_id").alias("final_poi_id"), F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
     home = homes.select("device_aid", "home_latitude", "home_longitude")

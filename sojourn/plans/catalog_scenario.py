@@ -225,11 +225,9 @@ def rewire_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenario.rewire_candidates(flagged, near).select("stop_id", "device_aid", "category", "candidate_id")
 
 
-def _shares(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _away(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     flagged, near, homes = _flagged(spark, sf_dir)
-    pois = ctx.poi_table(spark, sf_dir)
-    shares = scenario.decay_weights(flagged.where("not within_isochrone"), near, homes, pois)
-    return flagged, shares, homes, pois
+    return flagged, flagged.where("not within_isochrone"), near, homes, ctx.poi_table(spark, sf_dir)
 
 
 @query(
@@ -240,7 +238,7 @@ def _shares(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     ),
 )
 def decay_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _shares(spark, sf_dir)[1]
+    out = scenario.decay_weights(*_away(spark, sf_dir)[1:])
     return out.select(
         "device_aid", "category", "poi_id", F.round("km", 6).alias("km"), F.round("weight", 4).alias("weight"),
         F.round("share", 6).alias("share"),
@@ -248,7 +246,8 @@ def decay_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rewired_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scenario.rewire_trips(*_shares(spark, sf_dir))
+    flagged, away, near, homes, pois = _away(spark, sf_dir)
+    return scenario.rewire_trips(flagged, scenario.running_shares(away, near, homes, pois), homes, pois)
 
 
 _REWIRED = "stop_id, device_aid, original_poi_id, final_poi_id, category, within_isochrone, rewired, localizable"

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sojourn.functions.hashing import uniform_draw
 from sojourn.operators import anchors, reach, scenario, venues, zones
 from sojourn.params import AnchorParams, ScenarioParams
 
@@ -28,8 +29,10 @@ def city(spark, seed=1, n_trips=300):
 
 def run(trips, homes, near, pois, p=ScenarioParams()):
     flagged = scenario.within_isochrone(trips, homes, near)
-    shares = scenario.decay_weights(flagged.where("not within_isochrone"), near, homes, pois, p)
-    return flagged, shares, scenario.rewire_trips(flagged, shares, homes, pois, p)
+    away = flagged.where("not within_isochrone")
+    runs = scenario.running_shares(away, near, homes, pois, p)
+    shares = scenario.decay_weights(away, near, homes, pois, p)
+    return flagged, shares, scenario.rewire_trips(flagged, runs, homes, pois, p)
 
 
 @pytest.mark.parametrize("decay", ["power", "exponential"])
@@ -54,6 +57,34 @@ def test_every_trip_has_one_allowed_final_venue(spark, decay):
     assert all(abs(t.s - 1) < 1e-9 for t in total)
 
 
+def test_draws_equal_the_running_sums_taken_one_by_one(spark):
+    trips, homes, near, pois = city(spark, 5, 1500)
+    _, shares, out = run(trips, homes, near, pois)
+    by = {}
+    for r in sorted(shares.collect(), key=lambda r: r.poi_id):
+        by.setdefault((r.device_aid, r.category), []).append((r.poi_id, r.share))
+    assert max(map(len, by.values())) > 4
+    draws = {r.stop_id: r.u for r in trips.select("stop_id", uniform_draw(ScenarioParams().seed, F.col("stop_id")).alias("u")).collect()}
+    wrong = 0
+    for r in out.where("rewired").collect():
+        total, want = 0.0, None
+        for venue, share in by[(r.device_aid, r.category)]:
+            total, want = total + share, venue
+            if total >= draws[r.stop_id]:
+                break
+        wrong += want != r.final_poi_id
+    assert wrong == 0
+
+
+def test_trips_meet_no_venue_rows_and_homes_without_place_stay(spark):
+    trips, homes, near, pois = city(spark, 6)
+    lost = homes.withColumn("home_latitude", F.when(F.col("device_aid") != "d1", F.col("home_latitude")))
+    flagged, _, out = run(trips, lost, near, pois)
+    assert out.where("device_aid = 'd1' and rewired").count() == 0 and out.count() == trips.count()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_u#" in plan and not [line for line in plan.splitlines() if "Join" in line and "_u#" in line]
+
+
 def test_draws_do_not_depend_on_partitioning_and_follow_the_shares(spark):
     trips, homes, near, pois = city(spark, 2, 4000)
     a = sorted(map(str, run(trips.repartition(1), homes, near, pois)[2].select("stop_id", "final_poi_id").collect()))

@@ -37,6 +37,7 @@ def raw_folder(spark: SparkSession, sf_dir: str) -> str:
         columns = [F.col(c) if c in raw.KEPT_COLUMNS else F.lit("dummy").alias(c) for c in raw.RAW_COLUMNS]
         (
             rows.select(*columns, F.col("month").alias("m"), F.col("day").alias("d"))
+            .hint("rebalance", "m", "d")
             .write.partitionBy("m", "d")
             .option("header", True)
             .option("sep", "\t")

@@ -9,18 +9,27 @@ from sojourn.sources import raw
 from sojourn.sources.grouped import GROUPED_COLUMNS, with_group
 
 
+#: Compressed bytes of new files in one batch of the stream; what a task holds follows it, not the backlog.
+BATCH_BYTES = 256 << 20
+
+
 def ingest_incremental(
-    spark: SparkSession, root: str, out: str, checkpoint: str, n_groups: int = N_GROUPS
+    spark: SparkSession, root: str, out: str, checkpoint: str, n_groups: int = N_GROUPS, batch_bytes: int = BATCH_BYTES
 ) -> None:
     """Append new ``.csv.gz`` files and zip archives below ``root`` to the grouped layout at ``out``,
     then stop.
 
     A file stream with ``availableNow``: progress is committed per file, so a crash in the middle
     of a day neither loses nor repeats rows. Rows are shuffled by folder before they are written, so
-    a batch leaves one file per folder, not one per task and folder.
+    a batch leaves one file per folder, not one per task and folder. A run takes as many batches of
+    at most ``batch_bytes`` (one file at least) as the new files need.
     """
-    texts = raw.typed(raw.parse_rows(raw.raw_lines(spark.readStream, root)), "month", "day")
-    pings = texts.unionByName(raw.zip_lines(spark.readStream, root))
+
+    def files():
+        return spark.readStream.option("maxBytesPerTrigger", batch_bytes)
+
+    texts = raw.typed(raw.parse_rows(raw.raw_lines(files(), root)), "month", "day")
+    pings = texts.unionByName(raw.zip_lines(files(), root))
     pings = pings.na.drop(subset=["device_aid", "latitude", "longitude"])
     query = (
         with_group(pings.select(*GROUPED_COLUMNS, "month", "day"), n_groups)

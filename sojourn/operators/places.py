@@ -284,53 +284,70 @@ def stop_hulls(points: DataFrame, by: Sequence[str] = ("device_aid", "loc")) ->
 
 
 def _hull_kernel(by: list[str], final: bool):
-    def groups(table: pa.Table) -> Iterator[tuple[pa.Table, np.ndarray]]:
-        frame = table.select(by).to_pandas()
-        for _, index in frame.groupby(by, sort=False, dropna=False).indices.items():
-            yield table, np.asarray(index)
+    def grouped(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order of the rows by key, and where each key starts and ends in it."""
+        key = table.select(by).to_pandas().groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+        order = np.argsort(key, kind="stable")
+        starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+        return order, starts, np.append(starts[1:], len(order))
 
     def shrink(table: pa.Table) -> pa.Table:
-        parts = []
-        for t, index in groups(table):
-            g = t.take(pa.array(index))
-            corner = kernels.hull_indices(g.column("longitude").to_numpy(), g.column("latitude").to_numpy())
-            kept = g.take(pa.array(corner))
-            # Totals ride on the first corner; the others carry zero.
-            for c in ("n", "sum_lat", "sum_lon"):
-                total = np.zeros(len(corner), dtype=g.column(c).to_numpy().dtype)
-                total[0] = g.column(c).to_numpy().sum()
-                kept = kept.set_column(kept.schema.get_field_index(c), c, pa.array(total))
-            parts.append(kept)
-        return pa.concat_tables(parts)
+        if not table.num_rows:
+            return table
+        order, starts, ends = grouped(table)
+        lon, lat = (table.column(c).to_numpy()[order] for c in ("longitude", "latitude"))
+        # One or two points are their own corners, once each; only larger keys need a hull.
+        keep = np.ones(len(order), dtype=bool)
+        two = starts[ends - starts == 2]
+        keep[two + 1] = (lon[two] != lon[two + 1]) | (lat[two] != lat[two + 1])
+        more = ends - starts > 2
+        for a, z in zip(starts[more].tolist(), ends[more].tolist(), strict=True):
+            keep[a:z] = False
+            keep[a + kernels.hull_indices(lon[a:z], lat[a:z])] = True
+        kept = np.flatnonzero(keep)
+        out = table.take(pa.array(order[kept]))
+        # Totals ride on the first corner; the others carry zero.
+        first = np.searchsorted(kept, starts)
+        for c in ("n", "sum_lat", "sum_lon"):
+            values = table.column(c).to_numpy()[order]
+            total = np.zeros(len(kept), dtype=values.dtype)
+            total[first] = np.add.reduceat(values, starts)
+            out = out.set_column(out.schema.get_field_index(c), c, pa.array(total))
+        return out
 
     def finish(table: pa.Table) -> pa.Table:
-        keep, sizes, rings = [], [], []
-        for t, index in groups(table):
-            g = t.take(pa.array(index))
-            lat, lon = g.column("latitude").to_numpy(), g.column("longitude").to_numpy()
-            n = int(g.column("n").to_numpy().sum())
-            corner = kernels.hull_indices(lon, lat)
+        order, starts, ends = grouped(table)
+        lon, lat = (table.column(c).to_numpy()[order] for c in ("longitude", "latitude"))
+        n, sum_lat, sum_lon = (
+            np.add.reduceat(table.column(c).to_numpy()[order], starts) for c in ("n", "sum_lat", "sum_lon")
+        )
+        one, other = starts.copy(), ends - 1  # the ends of a line
+        polygons: dict[int, np.ndarray] = {}
+        for i in np.flatnonzero(ends - starts > 2).tolist():
+            a, z = int(starts[i]), int(ends[i])
+            corner = a + kernels.hull_indices(lon[a:z], lat[a:z])
             if len(corner) >= 3:
-                ring = [{"lon": float(lon[i]), "lat": float(lat[i])} for i in corner]
+                polygons[i] = corner
             else:
-                side = 5e-5 if n == 1 else float(
-                    np.hypot(lat[corner[0]] - lat[corner[-1]], lon[corner[0]] - lon[corner[-1]])
-                )
-                cy = g.column("sum_lat").to_numpy().sum() / n
-                cx = g.column("sum_lon").to_numpy().sum() / n
-                h = side / 2
-                ring = [
-                    {"lon": cx + dx * h, "lat": cy + dy * h}
-                    for dy, dx in ((-1, -1), (1, -1), (1, 1), (-1, 1))
-                ]
-            keep.append(int(index[0]))
-            sizes.append(n)
-            rings.append(ring)
-        ring_type = pa.list_(pa.struct([("lon", pa.float64()), ("lat", pa.float64())]))
-        out = table.select(by).take(pa.array(keep, pa.int64()))
-        return out.append_column("n_points", pa.array(sizes, pa.int64())).append_column(
-            "ring", pa.array(rings, ring_type)
-        )
+                one[i], other[i] = corner[0], corner[-1]
+        half = np.where(n == 1, 5e-5, np.hypot(lat[one] - lat[other], lon[one] - lon[other])) / 2
+        sizes = np.full(len(starts), 4, dtype=np.int64)
+        sizes[list(polygons)] = [len(c) for c in polygons.values()]
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        ring_lon, ring_lat = np.empty(offsets[-1]), np.empty(offsets[-1])
+        square = np.ones(len(starts), dtype=bool)
+        square[list(polygons)] = False
+        at = offsets[:-1][square]
+        for k, (dy, dx) in enumerate(((-1, -1), (1, -1), (1, 1), (-1, 1))):
+            ring_lon[at + k] = (sum_lon / n + dx * half)[square]
+            ring_lat[at + k] = (sum_lat / n + dy * half)[square]
+        for i, corner in polygons.items():
+            ring_lon[offsets[i] : offsets[i + 1]] = lon[corner]
+            ring_lat[offsets[i] : offsets[i + 1]] = lat[corner]
+        points = pa.StructArray.from_arrays([pa.array(ring_lon), pa.array(ring_lat)], ["lon", "lat"])
+        rings = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), points)
+        out = table.select(by).take(pa.array(order[starts]))
+        return out.append_column("n_points", pa.array(n, pa.int64())).append_column("ring", rings)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not final:

@@ -240,9 +240,12 @@ def cluster_points(
 
 
 def shared_stop_locations(events: DataFrame, p: StayParams = StayParams(), **options) -> DataFrame:
-    """Label stationary events of all devices together, so that labels are shared."""
+    """Label stationary events of all devices together, so that labels are shared.
+
+    The events are written once: the places and the labelled rows are both made from them.
+    """
     return cluster_points(
-        events,
+        cut(events),
         r2=p.r2,
         metric=p.distance_metric,
         weighted=p.weighted,

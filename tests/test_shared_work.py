@@ -50,3 +50,19 @@ def test_hulls_of_keys_of_all_sizes(spark):
             h = (5e-5 if len(lat) == 1 else np.hypot(lat[a] - lat[z], lon[a] - lon[z])) / 2
             square = [(lon.mean() + dx * h, lat.mean() + dy * h) for dy, dx in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
             assert np.allclose(ring, square, rtol=0, atol=1e-12)
+
+
+def test_shared_places_compute_their_events_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(f"d{i}", i, 55.0 + (i % 7) * 0.01, 13.0) for i in range(70)]
+    schema = "device_aid string, event_start long, latitude double, longitude double"
+    events = spark.createDataFrame(rows, schema).mapInArrow(counted, schema)
+    shared = places.shared_stop_locations(events, resolution=1e-5).collect()
+    assert len(shared) == 70 and len({r["loc"] for r in shared}) == 7
+    assert seen.value == 70

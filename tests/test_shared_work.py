@@ -66,3 +66,21 @@ def test_shared_places_compute_their_events_once(spark):
     shared = places.shared_stop_locations(events, resolution=1e-5).collect()
     assert len(shared) == 70 and len({r["loc"] for r in shared}) == 7
     assert seen.value == 70
+
+
+def test_decay_weights_round_once_per_home_spot(spark):
+    wanted = spark.createDataFrame([("a", "food"), ("b", "food")], "device_aid string, category string")
+    near = spark.createDataFrame([(1, 10, "food"), (1, 11, "food")], "grid_id long, poi_id long, category string")
+    homes = spark.createDataFrame(
+        [("a", 1, 55.0, 13.0), ("b", 1, 55.0, 13.0)],
+        "device_aid string, grid_id long, home_latitude double, home_longitude double",
+    )
+    pois = spark.createDataFrame([(10, 55.001, 13.0), (11, 55.003, 13.001)], "poi_id long, latitude double, longitude double")
+    plain = scenario.decay_weights(wanted, near, homes, pois)
+    after = plain.select(
+        "device_aid", "category", "poi_id", F.round("km", 6).alias("km"), F.round("weight", 4).alias("weight"),
+        F.round("share", 6).alias("share"),
+    )
+    before = scenario.decay_weights(wanted, near, homes, pois, digits=(6, 4, 6))
+    assert before.columns == plain.columns
+    assert sorted(before.collect()) == sorted(after.collect()) and before.count() == 4

@@ -24,12 +24,15 @@ def with_next(
     ends_run: Callable[[Column, Column], Column] | None = None,
     chunk: int = WEEK,
     unique_time: bool = False,
+    number: str | None = None,
 ) -> DataFrame:
     """Add ``next`` (struct of the ``order`` columns of the following row, null on the last one).
 
     With ``ends_run(current, following)`` also add ``run_start``: the order columns of the first
     row of the maximal run the row belongs to (only its time where times are unique), where a run
-    ends after every row for which the function is true. (key, run_start) names a run.
+    ends after every row for which the function is true. (key, run_start) names a run. ``number``
+    names a column for the number of that run, from 1 per key: the runs begun in the chunk so far are
+    counted in the same pass, those of earlier chunks through the summary.
     The first ``order`` column is the time and must be an integer type.
 
     All frames look backwards from the current row, so each is one pass over its sorted chunk.
@@ -57,6 +60,9 @@ def with_next(
         so_far = chunked.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         x = x.withColumn("_run", F.last("_mark", ignorenulls=True).over(so_far))
         aggs += [F.max(here).alias("_last"), F.max("_mark").alias("_last_mark")]
+        if number:
+            x = x.withColumn("_begun", F.count("_mark").over(so_far))
+            aggs.append(F.count("_mark").alias("_begins"))
 
     chunks = Window.partitionBy(*by).orderBy("_chunk")
     s = x.groupBy(*by, "_chunk").agg(*aggs).withColumn("_after", F.lead("_first").over(chunks))
@@ -68,13 +74,19 @@ def with_next(
         s = s.withColumn("_any_mark", F.coalesce("_last_mark", "_edge_mark"))
         earlier = F.last("_any_mark", ignorenulls=True).over(chunks.rowsBetween(Window.unboundedPreceding, -1))
         s = s.withColumn("_edge_run", F.coalesce(F.col("_edge_mark"), earlier))
-        s = s.select(*by, "_chunk", "_after", "_edge_run")
+        if number:
+            edge = F.col("_edge_mark").isNotNull().cast("bigint")
+            upto = chunks.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            s = s.withColumn("_base", F.sum(F.col("_begins") + edge).over(upto) - F.col("_begins"))
+        s = s.select(*by, "_chunk", "_after", "_edge_run", *(["_base"] if number else []))
     else:
         s = s.select(*by, "_chunk", "_after")
     out = x.join(s, [*by, "_chunk"]).withColumn("next", F.coalesce("_inner", "_after"))
     if ends_run is not None:
         out = out.withColumn("run_start", F.coalesce("_run", "_edge_run"))
-    return out.drop("_chunk", "_inner", "_after", "_mark", "_run", "_edge_run")
+        if number:
+            out = out.withColumn(number, (F.col("_base") + F.col("_begun")).cast("int"))
+    return out.drop("_chunk", "_inner", "_after", "_mark", "_run", "_edge_run", "_begun", "_base")
 
 
 def _chunk_of(t: str, size: int) -> Column:

@@ -84,3 +84,24 @@ def test_decay_weights_round_once_per_home_spot(spark):
     before = scenario.decay_weights(wanted, near, homes, pois, digits=(6, 4, 6))
     assert before.columns == plain.columns
     assert sorted(before.collect()) == sorted(after.collect()) and before.count() == 4
+
+
+def test_intervals_are_numbered_without_a_second_pass_over_the_runs(spark):
+    week = 7 * 86400
+    rng = np.random.default_rng(3)
+    times = np.sort(rng.integers(0, 5 * week, 400))
+    rows = [(d, int(t), int(v), 1.0, 2.0) for d in ("a", "b") for t, v in zip(times, rng.integers(0, 2, 400))]
+    rows += [("c", 5, 1, 1.0, 2.0), ("c", 5, 1, 1.0, 2.0), ("c", 6, 2, 1.0, 2.0), ("c", 3 * week, 2, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "device_aid string, timestamp long, loc long, latitude double, longitude double")
+    found = trace.interval_segments(df)
+    expected = []
+    for d in "abc":
+        n, last = 0, None
+        for r in sorted(r for r in rows if r[0] == d):
+            if last is None or r[2] != last[2] or r[1] - last[1] >= 10800:
+                n += 1
+            last = r
+            expected.append((*r[:3], n))
+    assert sorted(tuple(r) for r in found.select("device_aid", "timestamp", "loc", "interval").collect()) == sorted(expected)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # the rows meet the summary of their chunk, and nothing else

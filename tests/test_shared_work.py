@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sojourn.functions import kernels
 from sojourn.operators import places, scenario, trace
+from sojourn.plans import catalog_scenario
 
 HULL = ["device_aid", "loc"]
 
@@ -105,3 +106,26 @@ def test_intervals_are_numbered_without_a_second_pass_over_the_runs(spark):
     assert sorted(tuple(r) for r in found.select("device_aid", "timestamp", "loc", "interval").collect()) == sorted(expected)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1  # the rows meet the summary of their chunk, and nothing else
+
+
+def test_rewiring_makes_its_trips_once(spark, monkeypatch, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    made = catalog_scenario.trips
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    def counting(spark, sf_dir):
+        rows = made(spark, sf_dir)
+        return rows.mapInArrow(counted, rows.schema)
+
+    stamp = "timestamp'2024-01-02 00:00:00' + make_dt_interval(0, cast(id % 24 as int), cast(id % 60 as int))"
+    events = spark.range(300).selectExpr("id AS event_id", f"{stamp} AS ts", "id % 12 AS user_id")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(200).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(25).selectExpr("cast(id AS int) AS n_nationkey").write.parquet(f"{tmp_path}/nation.parquet")
+    monkeypatch.setattr(catalog_scenario, "trips", counting)
+    rewired = catalog_scenario.rewired_table(spark, str(tmp_path)).collect()
+    assert len(rewired) > 0 and seen.value == len(rewired)

@@ -63,9 +63,13 @@ def non_home_stops(stops: DataFrame, homes: DataFrame, metres: float = 100.0) ->
 
 
 def poi_containment(stops: DataFrame, pois: DataFrame, size_deg: float = 0.001) -> DataFrame:
-    """(stop_id, poi_id) with the stop inside the footprint; several footprints: lowest id."""
+    """(stop_id, poi_id) with the stop inside the footprint; several footprints: lowest id.
+
+    Venues of one footprint are folded to the lowest id before any stop meets them.
+    """
+    shapes = pois.groupBy("ring").agg(F.min("poi_id").alias("poi_id"))
     hits = spatial.within_polygons(
-        stops.select("latitude", "longitude").distinct(), pois, "poi_id", "ring", size_deg
+        stops.select("latitude", "longitude").distinct(), shapes, "poi_id", "ring", size_deg
     )
     best = hits.groupBy("latitude", "longitude").agg(F.min("poi_id").alias("poi_id"))
     return stops.select("stop_id", "latitude", "longitude").join(best, ["latitude", "longitude"]).select(

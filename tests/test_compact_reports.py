@@ -50,3 +50,19 @@ def test_tiles_keep_every_item_in_order(spark):
         own = [r._tile for r in tiles if r.key == key]
         assert [len(t) for t in own] == [256, 256, 88]
         assert sum(own, []) == [10 * i + 1 for i in range(1, 601)]
+
+
+def test_weights_of_many_devices(spark, tmp_path):
+    homes = spark.range(DEVICES).selectExpr(
+        "concat('d', id) AS device_aid", "id - id + 1 AS grid_id", "55.0D + (id - id) AS home_latitude",
+        "13.0D + (id - id) AS home_longitude",
+    )
+    wanted = spark.range(DEVICES).selectExpr("concat('d', id) AS device_aid", FOOD)
+    pois = spark.range(VENUES).selectExpr("id AS poi_id", "55 + id / 1e6 AS latitude", "13 + id / 2e6 AS longitude")
+    found = scenario.decay_weights(wanted, reach_of(spark), homes, pois, digits=(6, 4, 6))
+    assert found.columns == ["device_aid", "category", "poi_id", "km", "weight", "share"]
+    row = found.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("device_aid", "poi_id").alias("pairs")).first()
+    assert row.n == row.pairs == VENUES * DEVICES
+    shares = found.groupBy("device_aid").agg(F.sum("share").alias("s")).agg(F.min("s"), F.max("s")).first()
+    assert abs(shares[0] - 1) < 0.002 and abs(shares[1] - 1) < 0.002
+    assert bytes_a_row(found, tmp_path / "out") < 2
